@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from framerank.llm import _common as C
-from framerank.llm import decontaminate, simhash
+from framerank.llm import bpe, decontaminate, langid, simhash
+
+#: Where the public vocabulary is looked up; any path to such a file does.
+VOCABULARY = "word_bpe_49k.json"
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -17,7 +20,21 @@ def op2_simhash(spark, sf_dir):
     return simhash.digest(C.read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_simhash": op2_simhash}
+def op5_language_id(spark, sf_dir):
+    return langid.digest(C.read(spark, sf_dir, "documents"))
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op7_bpe(spark, sf_dir):
+    return bpe.digest(C.read(spark, sf_dir, "documents"), vocabulary_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op5_language_id, op7_bpe)}
 
 ORACLE = {
     "op1_decontamination": rf"""
