@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from framerank.llm import _common as C
-from framerank.llm import bpe, decontaminate, langid, simhash
+from framerank.llm import bpe, decontaminate, langid, simhash, warc
 
 #: Where the public vocabulary is looked up; any path to such a file does.
 VOCABULARY = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op5_language_id(spark, sf_dir):
     return langid.digest(C.read(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark, sf_dir):
+    return warc.digest(C.read(spark, sf_dir, "pages"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -34,9 +38,14 @@ def op7_bpe(spark, sf_dir):
     return bpe.digest(C.read(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op5_language_id, op7_bpe)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op5_language_id, op6_warc, op7_bpe)}
 
 ORACLE = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS first FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 AND first IS DISTINCT FROM page_id THEN first END AS refers_to FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r""",
     "op1_decontamination": rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM benchmark),
