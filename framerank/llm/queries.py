@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from framerank.llm import _common as C
-from framerank.llm import bpe, decontaminate, langid, simhash, warc
+from framerank.llm import ann, bpe, decontaminate, langid, sharding, simhash, warc
 
 #: Where the public vocabulary is looked up; any path to such a file does.
 VOCABULARY = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def op2_simhash(spark, sf_dir):
     return simhash.digest(C.read(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark, sf_dir):
+    return ann.digest(C.read(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark, sf_dir):
     return langid.digest(C.read(spark, sf_dir, "documents"))
 
@@ -38,7 +42,11 @@ def op7_bpe(spark, sf_dir):
     return bpe.digest(C.read(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op5_language_id, op6_warc, op7_bpe)}
+def op9_sharding(spark, sf_dir):
+    return sharding.digest(C.read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op4_nearest_neighbours, op5_language_id, op6_warc, op7_bpe, op9_sharding)}
 
 ORACLE = {
     "op6_warc": """
