@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from framerank.llm import _common as C
-from framerank.llm import ann, bpe, decontaminate, langid, sharding, simhash, warc
+from framerank.llm import ann, bpe, decontaminate, langid, quality, sharding, simhash, toxicity, warc
 
 #: Where the public vocabulary is looked up; any path to such a file does.
 VOCABULARY = "word_bpe_49k.json"
@@ -42,11 +42,19 @@ def op7_bpe(spark, sf_dir):
     return bpe.digest(C.read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_quality(spark, sf_dir):
+    return quality.digest(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark, sf_dir):
     return sharding.digest(C.read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op4_nearest_neighbours, op5_language_id, op6_warc, op7_bpe, op9_sharding)}
+def op10_toxicity(spark, sf_dir):
+    return toxicity.digest(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op4_nearest_neighbours, op5_language_id, op6_warc, op7_bpe, op8_quality, op9_sharding, op10_toxicity)}
 
 ORACLE = {
     "op6_warc": """
