@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from framerank.llm import _common as C
-from framerank.llm import ann, bpe, decontaminate, langid, quality, sharding, simhash, toxicity, warc
+from framerank.llm import ann, bpe, decontaminate, langid, pii, quality, sharding, simhash, toxicity, warc
 
 #: Where the public vocabulary is looked up; any path to such a file does.
 VOCABULARY = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def op2_simhash(spark, sf_dir):
     return simhash.digest(C.read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark, sf_dir):
+    return pii.digest(C.read(spark, sf_dir, "documents"))
+
+
 def op4_nearest_neighbours(spark, sf_dir):
     return ann.digest(C.read(spark, sf_dir, "embeddings"))
 
@@ -54,7 +58,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.digest(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op4_nearest_neighbours, op5_language_id, op6_warc, op7_bpe, op8_quality, op9_sharding, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_pii, op4_nearest_neighbours, op5_language_id, op6_warc, op7_bpe, op8_quality, op9_sharding, op10_toxicity)}
 
 ORACLE = {
     "op6_warc": """
