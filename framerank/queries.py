@@ -1,6 +1,662 @@
-"""Registered queries of the library and their SQL."""
+"""Registered queries of the library, and the same in DuckDB SQL.
+
+The tables stand in for the library's inputs: events for a prediction log (a user is a clip, a minute is a
+frame), documents for frame metrics, lineitem for signals, embeddings for visual features, orders with their
+lines for an event tree."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framerank.config import RankConfig, Thresholds
+from framerank.functions import scalars as S
+from framerank.operators import dataset, events, filters, metrics, redundancy, scoring, segments, select
+from framerank.plans import ranking
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# Stand-ins, in both languages --------------------------------------------------------------------
+
+CLASSES = {"purchase": "P1", "signup": "P2", "click": "P3", "error": "P4"}
+EPOCH = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    label = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in CLASSES.items() for x in kv)), F.col("event_type")), F.lit("IGNORED"))
+    return _read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("clip_id"), "event_id", F.expr(f"floor({EPOCH} / 60000000)").cast("bigint").alias("frame_idx"), label.alias("pred_label"), (F.col("value") / (F.col("value") + 30.0)).alias("confidence"),
+    )
+
+
+FRAMES = """frames AS (SELECT user_id AS clip_id, event_id, ts, CAST(floor(epoch(ts) / 60) AS BIGINT) AS frame_idx,
+  CASE event_type WHEN 'purchase' THEN 'P1' WHEN 'signup' THEN 'P2' WHEN 'click' THEN 'P3' WHEN 'error' THEN 'P4' ELSE 'IGNORED' END AS pred_label,
+  value / (value + 30e0) AS confidence FROM events)"""
+
+
+def _runs_sql(where: str, least: int, name: str = "runs") -> str:
+    return f"""{name}_k AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx, event_id) - row_number() OVER (PARTITION BY clip_id, pred_label ORDER BY frame_idx, event_id) AS island
+  FROM frames WHERE {where}),
+{name} AS (SELECT clip_id, pred_label, count(*) AS num_frames, min(frame_idx) AS start_index, max(frame_idx) AS end_index FROM {name}_k GROUP BY clip_id, pred_label, island HAVING count(*) >= {least})"""
+
+
+RUNS = _runs_sql("pred_label <> 'IGNORED'", 3)
+ORDER = ["frame_idx", "event_id"]
+
+
+def _runs(spark, sf_dir, least: int = 3) -> DataFrame:
+    return segments.runs(segments.drop_ignored(_frames(spark, sf_dir), ["IGNORED"]), ["clip_id"], ORDER, min_length=least)
+
+
+def _signals(spark, sf_dir) -> DataFrame:
+    """Four signals per order line; a face is as good as it is sure."""
+    lines, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    priority = F.when(F.col("o_orderpriority") == "1-URGENT", "P1_player_referee").when(F.col("o_orderpriority") == "2-HIGH", "P2_corner").when(F.col("o_orderpriority") == "3-MEDIUM", "P3_side_staff").otherwise("other")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        *KEY, (F.col("l_quantity") / 50.0).alias("iqa_norm"), (F.col("l_discount") * 10.0).alias("face_quality"), (F.col("l_tax") * 12.5).alias("emotion_intensity"),
+        F.least(F.col("l_extendedprice") / 100000.0, F.lit(1.0)).alias("pose_score"), (F.col("l_quantity") / 100.0).alias("face_area"), (F.col("l_linenumber") % 3).alias("num_faces"),
+        (1.0 - F.col("l_tax") * 6.25).alias("face_det_score"), priority.alias("segment_priority"), F.lit("jump").alias("pose_label"), F.lit("Happiness").alias("emotion_label"),
+    )
+
+
+KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
+SIGNALS = f"""signals AS (SELECT {', '.join(KEY)}, l_quantity / 50e0 AS iqa_norm, l_discount * 10e0 AS face_quality, l_tax * 12.5e0 AS emotion_intensity,
+  least(l_extendedprice / 100000e0, 1e0) AS pose_score, l_quantity / 100e0 AS face_area, l_linenumber % 3 AS num_faces, 1e0 - l_tax * 6.25e0 AS face_det_score,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'P1_player_referee' WHEN '2-HIGH' THEN 'P2_corner' WHEN '3-MEDIUM' THEN 'P3_side_staff' ELSE 'other' END AS segment_priority
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+TIERED = """face AS (SELECT *, num_faces > 0 AND face_quality >= 0.40e0 AND face_area >= 0.02e0 AND face_area <= 0.40e0 AS good FROM signals),
+tier AS (SELECT *, CASE WHEN good AND emotion_intensity > 0.20e0 AND pose_score > 0.15e0 THEN 1 WHEN good AND emotion_intensity > 0.20e0 THEN 2 WHEN pose_score > 0.15e0 THEN 3 ELSE 4 END AS keyframe_priority FROM face)"""
+SCORED = """gate AS (SELECT *, num_faces > 0 AND face_det_score > 0.60e0 AS sure FROM tier),
+sig AS (SELECT *, CASE WHEN sure THEN face_quality ELSE 0e0 END AS face_signal, CASE WHEN pose_score > 0.01e0 THEN pose_score ELSE 0e0 END AS pose_signal,
+  CASE WHEN sure AND emotion_intensity > 0.01e0 THEN emotion_intensity ELSE 0e0 END AS emotion_signal, least(1e0, greatest(0e0, iqa_norm)) AS iqa_signal FROM gate),
+part AS (SELECT *, 0.35e0 / 0.9e0 * iqa_signal AS w_iqa, 0.25e0 / 0.9e0 * face_signal AS w_face, 0.15e0 / 0.9e0 * emotion_signal AS w_emotion, 0.15e0 / 0.9e0 * pose_signal AS w_pose,
+  CASE segment_priority WHEN 'P1_player_referee' THEN 1.2e0 WHEN 'P2_corner' THEN 1.075e0 WHEN 'P3_side_staff' THEN 1.05e0 ELSE 1e0 END AS segment_multiplier FROM sig),
+score AS (SELECT *, w_iqa + w_face + w_emotion + w_pose AS score_pre_mult, (w_iqa + w_face + w_emotion + w_pose) * segment_multiplier AS final_score FROM part)"""
+
+
+def _greedy_sql(nodes: str, near: str, limit: str = "1000000", name: str = "") -> str:
+    """CTEs that take the first of what is left in each group g by rank r and drop what is near it, again and again.
+    nodes: SELECT g, r, ...; near: condition on rows a and b."""
+    return f"""{name}n AS MATERIALIZED ({nodes}),
+{name}near AS MATERIALIZED (SELECT a.g, a.r, list(b.r) AS nb FROM {name}n a JOIN {name}n b ON a.g = b.g AND a.r < b.r AND {near} GROUP BY a.g, a.r),
+{name}st(g, rest, lead, members, k) AS (
+  SELECT g, list(r ORDER BY r), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), 0 FROM {name}n GROUP BY g
+  UNION ALL
+  SELECT st.g, list_filter(st.rest[2:], lambda x: NOT list_contains(coalesce(near.nb, CAST([] AS BIGINT[])), x)), st.rest[1],
+         list_filter(st.rest[2:], lambda x: list_contains(coalesce(near.nb, CAST([] AS BIGINT[])), x)), k + 1
+  FROM {name}st st LEFT JOIN {name}near near ON near.g = st.g AND near.r = st.rest[1] WHERE len(st.rest) > 0 AND k < {limit})"""
+
+
+# Labels and counts ----------------------------------------------------------------------------
+
+
+@query("SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1")
+def label_counts(spark, sf_dir):
+    return dataset.label_counts(_read(spark, sf_dir, "events").select(F.col("event_type").alias("label")))
+
+
+DOMAIN = ["click", "error", "purchase", "refund", "share", "signup", "view"]
+
+
+@query("SELECT label, count(event_id) AS n FROM (SELECT unnest(['click', 'error', 'purchase', 'refund', 'share', 'signup', 'view']) AS label) d LEFT JOIN events ON event_type = label GROUP BY label")
+def label_counts_zero_fill(spark, sf_dir):
+    return dataset.zero_filled(_read(spark, sf_dir, "events").select(F.col("event_type").alias("label")), DOMAIN)
+
+
+@query("SELECT o_orderstatus AS label, o_orderpriority AS game, count(*) AS n, CAST(grouping(o_orderpriority) AS INTEGER) AS level FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderstatus, o_orderpriority))")
+def label_counts_both_levels(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("label"), F.col("o_orderpriority").alias("game"))
+    return dataset.label_counts_both(rows, "game")
+
+
+@query("SELECT label, clip, n, CAST(rank AS INTEGER) AS rank FROM (SELECT event_type AS label, user_id AS clip, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS rank FROM events GROUP BY 1, 2) WHERE rank <= 5")
+def label_by_group_top5(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select(F.col("event_type").alias("label"), F.col("user_id").alias("clip"))
+    return dataset.top_groups(rows, "clip")
+
+
+@query("SELECT event_type AS label, count(DISTINCT user_id) AS groups FROM events GROUP BY 1")
+def distinct_groups(spark, sf_dir):
+    return _read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("label")).agg(F.count_distinct("user_id").alias("groups"))
+
+
+# Segments -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {FRAMES}, {RUNS} SELECT *, row_number() OVER (ORDER BY pred_label, clip_id, start_index) - 1 AS segment_id FROM runs")
+def segment_runs(spark, sf_dir):
+    return segments.number(_runs(spark, sf_dir), ["pred_label", "clip_id"], ["start_index"])
+
+
+@query(f"WITH {FRAMES}, {RUNS} SELECT pred_label, count(*) AS segments, round(100e0 * count(*) / sum(count(*)) OVER (), 6) AS share_pct FROM runs GROUP BY pred_label")
+def segment_share(spark, sf_dir):
+    return segments.shares(_runs(spark, sf_dir)).withColumn("share_pct", F.round("share_pct", 6))
+
+
+@query(f"WITH {FRAMES}, {RUNS} SELECT c.clip_id, count(r.clip_id) AS segments FROM (SELECT DISTINCT clip_id FROM frames) c LEFT JOIN runs r ON r.clip_id = c.clip_id GROUP BY c.clip_id HAVING count(r.clip_id) < 2")
+def clips_below_min_segments(spark, sf_dir):
+    return segments.below_minimum(_frames(spark, sf_dir), _runs(spark, sf_dir), ["clip_id"], 2)
+
+
+@query(f"""WITH {FRAMES}, {_runs_sql("pred_label <> 'IGNORED'", 2, "merged")}, {_runs_sql("true", 2, "apart")}
+SELECT pred_label, m.n AS merged, coalesce(a.n, 0) AS apart FROM (SELECT pred_label, count(*) AS n FROM merged GROUP BY 1) m LEFT JOIN (SELECT pred_label, count(*) AS n FROM apart GROUP BY 1) a USING (pred_label)""")
+def run_merge_on_ignored(spark, sf_dir):
+    """Runs if the ignored rows go before, and if they stay and part them."""
+    frames = _frames(spark, sf_dir)
+    merged = _runs(spark, sf_dir, 2).groupBy("pred_label").agg(F.count("*").alias("merged"))
+    apart = segments.runs(frames, ["clip_id"], ORDER, min_length=2).groupBy("pred_label").agg(F.count("*").alias("apart"))
+    return merged.join(apart, "pred_label", "left").withColumn("apart", F.coalesce("apart", F.lit(0)))
+
+
+@query(f"WITH {FRAMES}, {RUNS} SELECT r.clip_id, r.start_index, count(*) AS frames FROM runs r JOIN frames f ON f.clip_id = r.clip_id AND f.frame_idx BETWEEN r.start_index AND r.end_index GROUP BY 1, 2")
+def frames_segment_range(spark, sf_dir):
+    return segments.frames_by_segment(_frames(spark, sf_dir), _runs(spark, sf_dir).drop("pred_label"), ["clip_id"]).groupBy("clip_id", "start_index").agg(F.count("*").alias("frames"))
+
+
+@query(f"WITH {FRAMES}, {RUNS} SELECT event_id, clip_id, frame_idx FROM frames f WHERE EXISTS (SELECT 1 FROM runs r WHERE f.clip_id = r.clip_id AND f.frame_idx BETWEEN r.start_index AND r.end_index)")
+def frames_in_segments(spark, sf_dir):
+    return segments.frames_in_segments(_frames(spark, sf_dir), _runs(spark, sf_dir), ["clip_id"]).select("event_id", "clip_id", "frame_idx")
+
+
+@query(f"WITH {FRAMES}, {RUNS} SELECT r.pred_label, count(*) AS frames FROM (SELECT * FROM runs WHERE num_frames >= 4) r JOIN frames f ON f.frame_idx BETWEEN r.start_index AND r.end_index GROUP BY 1")
+def frames_segment_range_unscoped(spark, sf_dir):
+    """Frames of any clip match a segment's indices."""
+    return segments.frames_by_segment(_frames(spark, sf_dir).drop("pred_label", "clip_id"), _runs(spark, sf_dir, 4)).groupBy("pred_label").agg(F.count("*").alias("frames"))
+
+
+# Filters --------------------------------------------------------------------------------------
+
+
+@query(f"WITH {FRAMES} SELECT pred_label, count(*) AS n, count(*) FILTER (WHERE confidence >= 0.40e0) AS passed FROM frames GROUP BY 1")
+def conf_gate_counts(spark, sf_dir):
+    frames = _frames(spark, sf_dir)
+    passed = filters.confident(frames, 0.40).groupBy("pred_label").agg(F.count("*").alias("passed"))
+    return frames.groupBy("pred_label").agg(F.count("*").alias("n")).join(passed, "pred_label", "left").withColumn("passed", F.coalesce("passed", F.lit(0)))
+
+
+LIMITS = {"en": Thresholds(200.0, 40.0, 0.14, 1.2), "fr": Thresholds(300.0, 40.0, 0.16, 1.2), "de": Thresholds(200.0, 60.0, 0.14, 1.0)}
+
+
+def _doc_metrics(spark, sf_dir) -> DataFrame:
+    n = F.length("text").cast("double")
+    without = lambda c: F.length(F.replace("text", F.lit(c))).cast("double")
+    return _read(spark, sf_dir, "documents").select(
+        "doc_id", "lang", F.col("n_chars").cast("double").alias("luminance"), (n - without(" ") + 1).alias("sharpness"), F.try_divide(n - without("e"), n).alias("uniformity"), (F.try_divide(n - without("."), n) * 100.0).alias("texture"),
+    )
+
+
+CASCADE = """m AS (SELECT doc_id, lang, CAST(n_chars AS DOUBLE) AS luminance, CAST(length(text) - length(replace(text, ' ', '')) + 1 AS DOUBLE) AS sharpness,
+  CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) / CAST(length(text) AS DOUBLE) AS uniformity,
+  CAST(length(text) - length(replace(text, '.', '')) AS DOUBLE) / CAST(length(text) AS DOUBLE) * 100e0 AS texture FROM documents),
+t(lang, l, s, u, x) AS (VALUES ('en', 200e0, 40e0, 0.14e0, 1.2e0), ('fr', 300e0, 40e0, 0.16e0, 1.2e0), ('de', 200e0, 60e0, 0.14e0, 1e0)),
+c AS (SELECT m.*, CASE WHEN luminance < coalesce(l, 200e0) THEN 'luminance' WHEN sharpness < coalesce(s, 40e0) THEN 'sharpness' WHEN uniformity > coalesce(u, 0.14e0) THEN 'uniformity'
+  WHEN texture < coalesce(x, 1.2e0) THEN 'texture' END AS reject_reason FROM m LEFT JOIN t USING (lang))"""
+
+
+@query(f"WITH {CASCADE} SELECT doc_id, lang, reject_reason FROM c")
+def filter_cascade(spark, sf_dir):
+    return filters.cascade(_doc_metrics(spark, sf_dir), LIMITS, "lang", "en").select("doc_id", "lang", "reject_reason")
+
+
+@query(f"WITH {CASCADE} SELECT lang, coalesce(reject_reason, 'kept') AS reason, count(*) AS n FROM c GROUP BY 1, 2")
+def filter_cascade_reasons(spark, sf_dir):
+    return filters.reasons(filters.cascade(_doc_metrics(spark, sf_dir), LIMITS, "lang", "en"), "lang")
+
+
+@query(f"WITH {CASCADE} SELECT count(*) AS n, count(*) FILTER (WHERE reject_reason IS NULL) AS kept FROM c WHERE luminance >= 200e0 AND sharpness >= 40e0 AND uniformity <= 0.16e0 AND texture >= 1e0")
+def relaxed_floor(spark, sf_dir):
+    """What the loosest limits leave, and how much of it the class limits keep."""
+    kept = filters.cascade(filters.above_floor(_doc_metrics(spark, sf_dir), LIMITS), LIMITS, "lang", "en")
+    return kept.agg(F.count("*").alias("n"), F.count_if(F.col("reject_reason").isNull()).alias("kept"))
+
+
+@query(f"""WITH {FRAMES}, s AS (SELECT f.clip_id, f.frame_idx, value AS blur FROM frames f JOIN events USING (event_id)),
+k AS (SELECT clip_id, frame_idx, false AS fallback FROM s WHERE blur >= 300e0)
+SELECT * FROM k UNION ALL SELECT clip_id, min(frame_idx), true FROM s WHERE clip_id NOT IN (SELECT clip_id FROM k) GROUP BY clip_id""")
+def ensure_one(spark, sf_dir):
+    samples = _frames(spark, sf_dir).join(_read(spark, sf_dir, "events").select("event_id", F.col("value").alias("blur")), "event_id")
+    clips = _frames(spark, sf_dir).groupBy("clip_id").agg(F.min("frame_idx").alias("middle"))
+    return filters.sharp_or_middle(samples, clips, ["clip_id"], 300.0)
+
+
+# Redundancy -----------------------------------------------------------------------------------
+
+GAP = """gap AS (SELECT clip_id, event_id, frame_idx, confidence, sum(CASE WHEN frame_idx - prev < 300 THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id ORDER BY frame_idx, event_id) AS cluster
+  FROM (SELECT *, lag(frame_idx) OVER (PARTITION BY clip_id ORDER BY frame_idx, event_id) AS prev FROM frames))"""
+
+
+@query(f"WITH {FRAMES}, {GAP} SELECT event_id, clip_id, CAST(cluster AS BIGINT) AS cluster FROM gap")
+def temporal_clusters(spark, sf_dir):
+    return redundancy.temporal_clusters(_frames(spark, sf_dir), ["clip_id"], "frame_idx", 300, ["event_id"]).select("event_id", "clip_id", "cluster")
+
+
+@query(f"WITH {FRAMES}, {GAP} SELECT event_id, clip_id, n AS cluster_size FROM (SELECT *, count(*) OVER (PARTITION BY clip_id, cluster) AS n, row_number() OVER (PARTITION BY clip_id, cluster ORDER BY confidence DESC, event_id) AS r FROM gap) WHERE r <= 2")
+def temporal_topk(spark, sf_dir):
+    return redundancy.temporal(_frames(spark, sf_dir), "clip_id", "frame_idx", "event_id", "confidence", 300, 2).where("selected").select("event_id", "clip_id", "cluster_size")
+
+
+VECTORS = """v AS MATERIALIZED (SELECT label AS g, vec_id AS r, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS size, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings)"""
+LEADERS = _greedy_sql("SELECT * FROM v", "list_dot_product(a.e, b.e) / (a.size * b.size + 1e-8) >= 0.20e0")
+MEMBERS = "mem AS (SELECT g, lead AS leader, unnest(list_prepend(lead, members)) AS r FROM st WHERE lead IS NOT NULL)"
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select(F.col("label").alias("segment_id"), "vec_id", "embedding", F.col("embedding")[0].cast("double").alias("score"))
+
+
+@query(f"WITH RECURSIVE {VECTORS}, {LEADERS}, {MEMBERS} SELECT g AS segment_id, r AS vec_id, leader FROM mem")
+def leader_clusters(spark, sf_dir):
+    return redundancy.leader_clusters(_items(spark, sf_dir), "segment_id", "vec_id", "embedding", 0.20)
+
+
+PICKED = "pick AS (SELECT mem.*, score, count(*) OVER (PARTITION BY g, leader) AS n, row_number() OVER (PARTITION BY g, leader ORDER BY score DESC, r) AS k FROM mem JOIN v USING (g, r))"
+
+
+@query(f"WITH RECURSIVE {VECTORS}, {LEADERS}, {MEMBERS}, {PICKED} SELECT g AS segment_id, r AS vec_id, n AS cluster_size FROM pick WHERE k = 1")
+def cluster_survivors(spark, sf_dir):
+    return redundancy.visual(_items(spark, sf_dir), "segment_id", "vec_id", "embedding", "score", 0.20, "clip").where("selected").select("segment_id", "vec_id", "cluster_size")
+
+
+@query(f"WITH RECURSIVE {VECTORS}, {LEADERS}, {MEMBERS}, {PICKED} SELECT 'visual_' || g || '_' || leader AS cluster_id, 'visual' AS stage, CAST(r AS VARCHAR) AS path, round(score, 6) AS score, k = 1 AS selected, CAST(n AS INTEGER) AS cluster_size, g AS segment_id FROM pick")
+def cluster_log(spark, sf_dir):
+    rows = redundancy.visual(_items(spark, sf_dir), "segment_id", "vec_id", "embedding", "score", 0.20, "clip")
+    return redundancy.cluster_log(rows, "visual", ["segment_id", "leader"], "vec_id", "score", "segment_id").withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH RECURSIVE {VECTORS}, {LEADERS}, {MEMBERS}, {PICKED},
+t AS (SELECT *, sum(CASE WHEN r - prev < 12 THEN 0 ELSE 1 END) OVER (PARTITION BY g ORDER BY r) AS c FROM (SELECT *, lag(r) OVER (PARTITION BY g ORDER BY r) AS prev FROM pick WHERE k = 1))
+SELECT g AS segment_id, r AS vec_id FROM (SELECT *, row_number() OVER (PARTITION BY g, c ORDER BY score DESC, r) AS k2 FROM t) WHERE k2 = 1""")
+def hybrid_reduction(spark, sf_dir):
+    items = _items(spark, sf_dir).withColumn("place", F.col("vec_id"))
+    return redundancy.reduce_redundancy("hybrid", items, group="segment_id", index="place", order="vec_id", feature="embedding", score="score", gap=12, threshold=0.20).select("segment_id", "vec_id")
+
+
+@query(f"""WITH RECURSIVE {VECTORS}, {LEADERS} SELECT count(*) AS clusters, min(len(members) + 1) AS smallest, max(len(members) + 1) AS largest, round(avg(len(members) + 1), 6) AS mean FROM st WHERE lead IS NOT NULL""")
+def cluster_sizes(spark, sf_dir):
+    found = redundancy.leader_clusters(_items(spark, sf_dir), "segment_id", "vec_id", "embedding", 0.20)
+    return redundancy.sizes(found, ["segment_id", "leader"]).withColumn("mean", F.round("mean", 6))
+
+
+HASHES = "h AS MATERIALIZED (SELECT label AS g, vec_id AS r, list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN 1 ELSE 0 END) AS b FROM embeddings)"
+DIFFER = "list_sum(list_transform(range(1, 64), lambda i: CASE WHEN a.b[i] <> b.b[i] THEN 1 ELSE 0 END)) <= 24"
+
+
+@query(f"WITH RECURSIVE {HASHES}, {_greedy_sql('SELECT * FROM h', DIFFER, '20')} SELECT g AS label, lead AS vec_id, k AS kept_rank FROM st WHERE lead IS NOT NULL")
+def hamming_dedup(spark, sf_dir):
+    """Kept per label until 20 are, if more than 24 bits from every kept one."""
+    bits = F.expr("aggregate(sequence(0, 62), 0L, (s, i) -> s * 2 + CASE WHEN embedding[i + 1] > embedding[i] THEN 1 ELSE 0 END)")
+    items = _read(spark, sf_dir, "embeddings").select("label", "vec_id", F.array(bits).alias("bits"))
+    return dataset.hamming_dedup(items, "label", ["vec_id"], "vec_id", "bits", 24, 20)
+
+
+# Scoring --------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SIGNALS}, {TIERED} SELECT {', '.join(KEY)}, keyframe_priority, round(CASE keyframe_priority WHEN 1 THEN 0.35e0 * face_quality + 0.35e0 * emotion_intensity + 0.30e0 * pose_score
+WHEN 2 THEN 0.60e0 * face_quality + 0.40e0 * emotion_intensity WHEN 3 THEN 0.50e0 * face_quality + 0.50e0 * pose_score ELSE face_quality END, 12) AS rank_value FROM tier""")
+def tier_rank(spark, sf_dir):
+    return scoring.with_tier(_signals(spark, sf_dir)).select(*KEY, "keyframe_priority", F.round("rank_value", 12).alias("rank_value"))
+
+
+PARTS = ["iqa_signal", "face_signal", "emotion_signal", "pose_signal", "w_iqa", "w_face", "w_emotion", "w_pose", "score_pre_mult", "segment_multiplier"]
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    return scoring.score(scoring.with_tier(_signals(spark, sf_dir)))
+
+
+@query(f"WITH {SIGNALS}, {TIERED}, {SCORED} SELECT {', '.join(KEY)}, round(final_score, 12) AS final_score FROM score")
+def final_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select(*KEY, F.round("final_score", 12).alias("final_score"))
+
+
+@query(f"""WITH {SIGNALS}, {TIERED}, {SCORED} SELECT {', '.join(KEY)}, {', '.join(f'round({p}, 12) AS {p}' for p in PARTS)},
+CASE keyframe_priority WHEN 1 THEN 'celebration:jump' WHEN 2 THEN 'expressive:Happiness' WHEN 3 THEN 'pose:jump' ELSE 'face_only' END AS content_source FROM score""")
+def score_breakdown(spark, sf_dir):
+    return _scored(spark, sf_dir).select(*KEY, *(F.round(p, 12).alias(p) for p in PARTS), "content_source")
+
+
+@query(f"WITH {SIGNALS}, {TIERED}, {SCORED} SELECT segment_priority, keyframe_priority, count(*) AS n, round(avg(final_score), 8) AS mean_score FROM score GROUP BY 1, 2")
+def score_by_tier(spark, sf_dir):
+    return _scored(spark, sf_dir).groupBy("segment_priority", "keyframe_priority").agg(F.count("*").alias("n"), F.round(F.avg("final_score"), 8).alias("mean_score"))
+
+
+@query(f"SELECT {', '.join(KEY)} FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 20")
+def topk_by_metric(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem").select(*KEY).orderBy(F.desc("l_extendedprice"), *KEY[:4]).limit(20)
+
+
+# Selection ------------------------------------------------------------------------------------
+
+
+def _nms_sql(floor: str, top: int) -> str:
+    nodes = f"SELECT clip_id AS g, row_number() OVER (PARTITION BY clip_id ORDER BY confidence DESC, event_id) AS r, event_id, frame_idx FROM frames WHERE confidence >= 0.40e0 AND confidence >= {floor}"
+    return f"WITH RECURSIVE {FRAMES}, {_greedy_sql(nodes, 'abs(a.frame_idx - b.frame_idx) < 600', str(top))} SELECT st.g AS clip_id, n.event_id, st.k AS rank FROM st JOIN n ON n.g = st.g AND n.r = st.lead"
+
+
+def _pool(spark, sf_dir) -> DataFrame:
+    return _frames(spark, sf_dir).withColumns({"model_confidence": F.col("confidence"), "final_score": F.col("confidence")})
+
+
+def _nms(spark, sf_dir, floor, fallback, top):
+    return select.select_final(_pool(spark, sf_dir), "clip_id", "frame_idx", ["event_id"], floor, fallback, 0.40, 600, top).select("clip_id", "event_id", "rank")
+
+
+@query(_nms_sql("0.80e0", 5))
+def nms_topn(spark, sf_dir):
+    return _nms(spark, sf_dir, 0.80, None, 5)
+
+
+@query(_nms_sql("0.70e0", 12))
+def nms_fallback(spark, sf_dir):
+    return _nms(spark, sf_dir, 0.90, 0.70, 12)
+
+
+# Metrics --------------------------------------------------------------------------------------
+
+LABEL_IDS = list(range(10))
+
+
+def _predicted(spark, sf_dir) -> DataFrame:
+    """Logits: dot products with the mean vector of each label. The means are one row of the label domain's size."""
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("truth"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    means = vectors.select("truth", F.posexplode("e").alias("i", "x")).groupBy("truth", "i").agg(F.avg("x").alias("m"))
+    means = means.groupBy("truth").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
+    table = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("truth", "m"))), lambda s: s["m"]).alias("means"))
+    rows = vectors.join(F.broadcast(table)).withColumn("logits", F.transform("means", lambda m: 20.0 * S.dot("e", m)))
+    rows = metrics.classified(rows, "logits", LABEL_IDS).select("vec_id", "truth", "pred", "confidence", "probs")
+    return rows.withColumn("probs", F.transform("probs", lambda p: F.round(p, 6)))
+
+
+CLASSIFIED = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+m AS (SELECT label AS c, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(e) AS x, unnest(range(1, 65)) AS i FROM v) GROUP BY label, i) GROUP BY label),
+z AS (SELECT vec_id, label AS truth, c, 20e0 * list_dot_product(e, m) AS z FROM v, m),
+x AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS x FROM z),
+p AS (SELECT vec_id, truth, c, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM x),
+cls AS (SELECT vec_id, truth, arg_max(c, p) AS pred, max(p) AS confidence FROM p GROUP BY vec_id, truth)"""
+GRID = "grid AS (SELECT t.c AS truth, u.c AS pred FROM (SELECT unnest(range(10)) AS c) t, (SELECT unnest(range(10)) AS c) u), cell AS (SELECT CAST(grid.truth AS INTEGER) AS truth, CAST(grid.pred AS INTEGER) AS pred, count(cls.vec_id) AS n FROM grid LEFT JOIN cls ON cls.truth = grid.truth AND cls.pred = grid.pred GROUP BY 1, 2)"
+
+
+@query(f"WITH {CLASSIFIED} SELECT vec_id, truth, pred, round(confidence, 6) AS confidence FROM cls")
+def softmax_argmax(spark, sf_dir):
+    return _predicted(spark, sf_dir).select("vec_id", "truth", "pred", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {CLASSIFIED}, {GRID} SELECT * FROM cell")
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion(_predicted(spark, sf_dir), LABEL_IDS)
+
+
+@query(f"""WITH {CLASSIFIED}, {GRID},
+per AS (SELECT c, sum(CASE WHEN truth = c THEN n ELSE 0 END) AS support, sum(CASE WHEN pred = c THEN n ELSE 0 END) AS predicted, sum(CASE WHEN truth = c AND pred = c THEN n ELSE 0 END) AS hit
+  FROM cell, (SELECT unnest(range(10)) AS c) GROUP BY c),
+pr AS (SELECT *, CASE WHEN predicted = 0 THEN 0e0 ELSE CAST(hit AS DOUBLE) / predicted END AS p, CASE WHEN support = 0 THEN 0e0 ELSE CAST(hit AS DOUBLE) / support END AS r FROM per),
+f AS (SELECT *, CASE WHEN p + r = 0 THEN 0e0 ELSE 2 * p * r / (p + r) END AS f FROM pr)
+SELECT CAST(c AS VARCHAR) AS class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, CAST(support AS BIGINT) AS support FROM f
+UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6), round(sum(f * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'accuracy', round(sum(hit) / sum(support), 6), round(sum(hit) / sum(support), 6), round(sum(hit) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f""")
+def class_report(spark, sf_dir):
+    return metrics.report(_predicted(spark, sf_dir), LABEL_IDS).select("class", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+@query(f"""WITH {CLASSIFIED}, s AS (SELECT c AS class, round(p, 6) AS threshold, count(*) AS n, count(*) FILTER (WHERE truth = c) AS h FROM p GROUP BY 1, 2),
+q AS (SELECT *, CAST(sum(h) OVER (PARTITION BY class ORDER BY threshold DESC) AS DOUBLE) AS tp, sum(n) OVER (PARTITION BY class ORDER BY threshold DESC) AS k, sum(h) OVER (PARTITION BY class) AS pos FROM s),
+r AS (SELECT class, threshold, tp / k AS p, CASE WHEN pos = 0 THEN 0e0 ELSE tp / pos END AS r FROM q)
+SELECT class, threshold, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r + 1e-8), 6) AS f1 FROM r""")
+def pr_curve(spark, sf_dir):
+    return metrics.pr_curve(_predicted(spark, sf_dir), LABEL_IDS).select("class", "threshold", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def _boxes(spark, sf_dir, odd: int, name: str) -> DataFrame:
+    e = lambda i: F.col("embedding")[i].cast("double")
+    x, y = 60.0 * e(0), 60.0 * e(1)
+    box = F.struct(x.alias("x1"), y.alias("y1"), (x + 25.0 + 60.0 * F.abs(e(2))).alias("x2"), (y + 25.0 + 60.0 * F.abs(e(3))).alias("y2"))
+    return _read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 2 == odd).select(F.col("label").alias("image"), F.col("vec_id").alias(name), box.alias("box"))
+
+
+BOXES = """b AS (SELECT label AS g, vec_id AS r, x AS x1, y AS y1, x + 25e0 + 60e0 * abs(w) AS x2, y + 25e0 + 60e0 * abs(h) AS y2 FROM
+  (SELECT label, vec_id, 60e0 * CAST(embedding[1] AS DOUBLE) AS x, 60e0 * CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS w, CAST(embedding[4] AS DOUBLE) AS h FROM embeddings)),
+ov AS (SELECT p.g, p.r AS pred, t.r AS gt, greatest(0e0, least(p.x2, t.x2) - greatest(p.x1, t.x1)) * greatest(0e0, least(p.y2, t.y2) - greatest(p.y1, t.y1)) AS i,
+  (p.x2 - p.x1) * (p.y2 - p.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS a FROM b p JOIN b t ON p.g = t.g AND p.r % 2 = 1 AND t.r % 2 = 0),
+near AS MATERIALIZED (SELECT g, pred, list(gt ORDER BY gt) AS nb FROM ov WHERE i / (a - i + 1e-6) >= 0.5e0 GROUP BY g, pred),
+ps AS MATERIALIZED (SELECT b.g, b.r AS pred, coalesce(nb, CAST([] AS BIGINT[])) AS nb, row_number() OVER (PARTITION BY b.g ORDER BY b.r) AS k FROM b LEFT JOIN near ON near.g = b.g AND near.pred = b.r WHERE b.r % 2 = 1),
+st(g, k, used, pred, gt) AS (
+  SELECT g, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM b GROUP BY g
+  UNION ALL
+  SELECT st.g, ps.k, CASE WHEN list_filter(nb, lambda x: NOT list_contains(used, x))[1] IS NULL THEN used ELSE list_append(used, list_filter(nb, lambda x: NOT list_contains(used, x))[1]) END, ps.pred,
+         list_filter(nb, lambda x: NOT list_contains(used, x))[1] FROM st JOIN ps ON ps.g = st.g AND ps.k = st.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {BOXES} SELECT g AS image, pred, gt FROM st WHERE pred IS NOT NULL")
+def iou_match(spark, sf_dir):
+    return metrics.match_boxes(_boxes(spark, sf_dir, 0, "gt"), _boxes(spark, sf_dir, 1, "pred"), "image")
+
+
+@query(f"""WITH RECURSIVE {BOXES}, c AS (SELECT count(gt) AS tp, count(*) - count(gt) AS fp, (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0) - count(gt) AS fn FROM st WHERE pred IS NOT NULL)
+SELECT tp, fp, fn, round(tp / (tp + fp + 1e-6), 6) AS precision, round(tp / (tp + fn + 1e-6), 6) AS recall FROM c""")
+def detection_scores(spark, sf_dir):
+    truths = _boxes(spark, sf_dir, 0, "gt")
+    found = metrics.detection_scores(metrics.match_boxes(truths, _boxes(spark, sf_dir, 1, "pred"), "image"), truths)
+    return found.withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
+
+
+JOINTS = "j AS (SELECT vec_id % 7 AS joint, sqrt(power(CAST(embedding[1] - embedding[3] AS DOUBLE), 2) + power(CAST(embedding[2] - embedding[4] AS DOUBLE), 2)) / 0.5e0 AS error FROM embeddings)"
+
+
+def _errors(spark, sf_dir) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    at = lambda i, n: F.col("embedding")[i].cast("double").alias(n)
+    truth = vectors.select(F.col("vec_id").alias("image"), (F.col("vec_id") % 7).alias("joint"), at(0, "x"), at(1, "y"), F.lit(0.5).alias("norm"))
+    return metrics.joint_errors(truth, vectors.select(F.col("vec_id").alias("image"), (F.col("vec_id") % 7).alias("joint"), at(2, "x"), at(3, "y")), "image")
+
+
+_SHARE = [f"(count(*) FILTER (WHERE error < 0.{k}e0)) / CAST(count(*) AS DOUBLE)" for k in range(1, 6)]
+
+
+@query(f"WITH {JOINTS} SELECT count(*) AS joints, {', '.join(f'round({s}, 6) AS pdj_{k}' for k, s in enumerate(_SHARE, 1))}, round(({' + '.join(_SHARE)}) / 5, 6) AS mean_pdj, round(0.1e0 * ({_SHARE[0]} / 2 + {' + '.join(_SHARE[1:4])} + {_SHARE[4]} / 2) / 0.4e0, 6) AS auc FROM j")
+def pdj_curve(spark, sf_dir):
+    found = metrics.pdj(_errors(spark, sf_dir))
+    return found.select("joints", *(F.round(c, 6).alias(c) for c in found.columns[1:]))
+
+
+@query(f"WITH {JOINTS} SELECT joint, round({_SHARE[4]}, 6) AS pdj FROM j GROUP BY joint")
+def pdj_by_joint(spark, sf_dir):
+    return metrics.pdj_by_joint(_errors(spark, sf_dir)).withColumn("pdj", F.round("pdj", 6))
+
+
+# Data sets ------------------------------------------------------------------------------------
+
+CUTS = """cut AS (SELECT user_id, event_id, epoch(ts) - 1704067200e0 AS s, event_type FROM events),
+shot AS (SELECT user_id, coalesce(lag(s) OVER w, 0e0) AS start, s AS "end", event_type AS label FROM cut WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)
+  UNION ALL SELECT user_id, s, s + 60e0, event_type FROM (SELECT *, lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id) AS nxt FROM cut) WHERE nxt IS NULL)"""
+
+
+def _shots(spark, sf_dir) -> DataFrame:
+    cuts = _read(spark, sf_dir, "events").select("user_id", "event_id", (F.expr(EPOCH) / 1e6 - 1704067200.0).alias("s"), F.col("event_type").alias("label"))
+    return dataset.shots(cuts, ["user_id"], "s", "label", ["event_id"])
+
+
+@query(f'WITH {CUTS} SELECT user_id, round(start, 3) AS start, round("end", 3) AS "end", label FROM shot WHERE "end" > start')
+def shot_intervals(spark, sf_dir):
+    return _shots(spark, sf_dir).select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "label")
+
+
+@query("""WITH d AS (SELECT event_id, value AS length, CASE event_type WHEN 'view' THEN 0.05e0 WHEN 'click' THEN 1e0 WHEN 'signup' THEN 2.5e0 WHEN 'purchase' THEN 0.5e0 ELSE 12e0 END AS raw FROM events),
+f AS (SELECT *, greatest(0.1e0, raw) AS f FROM d),
+c AS (SELECT *, CAST(greatest(1e0, round_even((CASE WHEN length < 3 THEN 1e0 WHEN length < 10 THEN 2e0 ELSE 3e0 END) * f, 0)) AS BIGINT) AS n, greatest(0.5e0, 5e0 / f) AS step, CAST(greatest(1e0, round_even(10 * f, 0)) AS BIGINT) AS most FROM f),
+t AS (SELECT event_id, CASE WHEN length <= 0 THEN CAST([] AS DOUBLE[]) WHEN length < 30 THEN list_transform(range(1, n + 1), lambda i: i * (length / (n + 1)))
+  ELSE list_transform(range(0, least(most, CAST(floor(length / step) AS BIGINT) + 1)), lambda i: i * step) END AS t FROM c)
+SELECT event_id, len(t) AS n, round(coalesce(list_sum(t), 0e0), 4) AS total FROM t""")
+def adaptive_samples(spark, sf_dir):
+    factor = {"view": 0.05, "click": 1.0, "signup": 2.5, "purchase": 0.5, "error": 12.0}
+    rows = _read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("label"), F.col("value"))
+    times = S.sample_times(F.lit(0.0), F.col("value"), dataset.factors(factor))
+    return rows.select("event_id", times.alias("t")).select("event_id", F.size("t").cast("bigint").alias("n"), F.round(F.aggregate("t", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query("SELECT o_orderkey, o_custkey, CAST('0x' || substr(md5(CAST(o_custkey AS VARCHAR)), 1, 7) AS BIGINT) % 10000 < 1500 AS is_test FROM orders")
+def hash_split(spark, sf_dir):
+    return dataset.hash_split(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
+
+
+@query()
+def group_split(spark, sf_dir):
+    return dataset.group_split(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
+
+
+@query("SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS label_id FROM orders")
+def dense_label_ids(spark, sf_dir):
+    return dataset.dense_ids(_read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("label"))).select("o_orderkey", "label_id")
+
+
+# Events ---------------------------------------------------------------------------------------
+
+
+def _event_tree(spark, sf_dir) -> DataFrame:
+    """Orders as events with their suppliers as videos and their customer as home team."""
+    videos = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.col("l_suppkey").cast("string").alias("video_asset_id"))).alias("v"))
+    teams = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    o = _read(spark, sf_dir, "orders").join(teams, "o_custkey", "left").join(videos, "o_orderkey")
+    none = F.lit(None).cast("string")
+    team = lambda name: F.struct(name.alias("name"), none.alias("short_name"), none.alias("logo_url"))
+    game = F.struct(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), none.alias("phase"), F.col("c_mktsegment").alias("stadium_name"), none.alias("tournament_name"), F.lit(None).cast("long").alias("attendance"), team(F.col("c_name")).alias("home_team"), team(none).alias("visiting_team"))
+    text = lambda n: none.alias(n)
+    playlist = F.struct(F.concat(F.lit("v/"), F.col("o_orderkey").cast("string")).alias("video_url"), text("thumbnail_url"), text("description"), text("frontend_url"), F.lit(None).cast("long").alias("duration_ms"), text("recording_timestamp"), F.col("v").alias("events"), game.alias("game"))
+    tag = F.struct(F.col("o_orderpriority").alias("action"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("A").alias("player_name"), F.col("o_orderstatus").alias("scorer"))
+    return o.select("o_orderkey", none.alias("score"), F.col("o_orderkey").alias("game_time"), none.alias("game_phase"), tag.alias("tag"), playlist.alias("playlist"))
+
+
+@query("SELECT CAST(l_suppkey AS VARCHAR) AS video_id, count(*) AS events, min(l_orderkey) AS first FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING CAST(l_suppkey AS VARCHAR) <> '0'")
+def event_index(spark, sf_dir):
+    lists = events.index_lists(_event_tree(spark, sf_dir), "o_orderkey")
+    return lists.select("video_id", F.size("events").cast("bigint").alias("events"), F.get("events", F.lit(0)).alias("first"))
+
+
+@query("""WITH k AS (SELECT CAST(s_suppkey AS VARCHAR) AS video_id FROM supplier UNION ALL SELECT CAST(s_suppkey + 1000000 AS VARCHAR) FROM supplier),
+f AS (SELECT CAST(l_suppkey AS VARCHAR) AS video_id, min(l_orderkey) AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <> 0 GROUP BY 1)
+SELECT k.video_id, o IS NOT NULL AS matched, CASE WHEN o IS NULL THEN NULL ELSE lpad(CAST(o // 60 AS VARCHAR), CAST(greatest(2, length(CAST(o // 60 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(o % 60 AS VARCHAR), 2, '0') END AS game_time,
+o_orderpriority AS event_type, CASE WHEN o % 2 = 0 THEN o_orderstatus ELSE CASE WHEN o IS NULL THEN NULL ELSE 'A' END END AS scorer, CASE WHEN o IS NULL THEN NULL ELSE coalesce(c_name, '') END AS home_team,
+CASE WHEN o IS NULL THEN NULL ELSE '0-0' END AS score, strftime(o_orderdate, '%Y-%m-%d') AS date, 'v/' || o AS video_url
+FROM k LEFT JOIN f USING (video_id) LEFT JOIN orders ON o_orderkey = o LEFT JOIN customer ON c_custkey = o_custkey""")
+def first_match_metadata(spark, sf_dir):
+    ids = _read(spark, sf_dir, "supplier").select(F.explode(F.array(F.col("s_suppkey").cast("string"), (F.col("s_suppkey") + 1000000).cast("string"))).alias("video_id"))
+    found = events.first_match(ids, _event_tree(spark, sf_dir), "o_orderkey")
+    fields = found.select("video_id", "matched", *events.metadata())
+    kept = ["game_time", "event_type", "scorer", "home_team", "score", "date", "video_url"]
+    return fields.select("video_id", "matched", *(F.when(F.col("matched"), F.col(c)).alias(c) for c in kept))
+
+
+@query("""SELECT o_orderpriority AS event_type, c_name AS team_home, o_orderkey AS game_id, 'v/' || o_orderkey AS video_url FROM orders JOIN customer ON c_custkey = o_custkey
+WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND contains(lower(c_name), '7') AND contains(lower(o_orderpriority), 'urgent')""")
+def team_action_events(spark, sf_dir):
+    return events.records(filters.team_action(_event_tree(spark, sf_dir), "7", "URGENT")).select("event_type", "team_home", "game_id", "video_url")
+
+
+# Names and times ------------------------------------------------------------------------------
+
+PATHS = "p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'x/list.m3u8/' || page_id || ':10:20/M.m3u8' WHEN 1 THEN 'a b\\c/video_' || page_id || '_frame_00012.jpg' ELSE url END AS path FROM pages)"
+
+
+def _paths(spark, sf_dir) -> DataFrame:
+    i = F.col("page_id").cast("string")
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("x/list.m3u8/"), i, F.lit(":10:20/M.m3u8"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("a b\\c/video_"), i, F.lit("_frame_00012.jpg"))).otherwise(F.col("url"))
+    return _read(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+
+
+@query(f"WITH {PATHS} SELECT page_id, coalesce(nullif(regexp_extract(path, '/(\\d+):\\d+:\\d+/', 1), ''), nullif(regexp_extract(replace(path, '\\', '/'), 'video_(\\d+)[^/]*$', 1), '')) AS video_id FROM p")
+def video_id_regex(spark, sf_dir):
+    return _paths(spark, sf_dir).select("page_id", S.video_id("path").alias("video_id"))
+
+
+@query(f"""WITH {PATHS}, q AS (SELECT page_id, string_split(replace(path, '\\', '/'), '/') AS s FROM p)
+SELECT page_id, s[-1] AS name, s[-2] AS parent, s[-3] AS grandparent, TRY_CAST(nullif(regexp_extract(s[-1], '(\\d+)\\D*$', 1), '') AS BIGINT) AS frame_idx,
+coalesce(TRY_CAST(nullif(regexp_replace(s[-1], '\\D', '', 'g'), '') AS BIGINT), -1) AS digits FROM q""")
+def path_parts(spark, sf_dir):
+    return _paths(spark, sf_dir).select("page_id", S.part("path", 1).alias("name"), S.part("path", 2).alias("parent"), S.part("path", 3).alias("grandparent"), S.frame_index("path").alias("frame_idx"), S.concatenated_index("path", -1).alias("digits"))
+
+
+@query("SELECT p_partkey, lpad(CAST((p_partkey * 37 // 60) AS VARCHAR), CAST(greatest(2, length(CAST(p_partkey * 37 // 60 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(p_partkey * 37 % 60 AS VARCHAR), 2, '0') AS clock FROM part")
+def mmss(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select("p_partkey", S.clock(F.col("p_partkey") * 37).alias("clock"))
+
+
+@query("SELECT DISTINCT translate(p_type || '/' || p_brand, ' /', '__') AS label FROM part")
+def safe_label(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select(S.safe_label(F.concat_ws("/", "p_type", "p_brand")).alias("label")).distinct()
+
+
+@query("SELECT vec_id, round(least(1e0, greatest(0e0, (list_dot_product(CAST(embedding AS DOUBLE[]), list_transform(range(64), lambda i: i / 8e0)) + 5e0 - 1e0) / 9e0)), 6) AS aesthetic, round(list_sum(list_sort(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))), 'DESC')[1:3]) / (list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) + 1e-6), 6) AS uniformity FROM embeddings")
+def aesthetic_and_uniformity(spark, sf_dir):
+    weights = F.array(*(F.lit(i / 8.0) for i in range(64)))
+    return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(S.aesthetic("embedding", weights, 5.0), 6).alias("aesthetic"), F.round(S.uniformity(F.transform("embedding", lambda x: F.abs(x.cast("double")))), 6).alias("uniformity"))
+
+
+# The whole chain --------------------------------------------------------------------------------
+
+CHAIN = RankConfig(min_length=3, temporal_window=600, visual_threshold=0.10, top_n=5, thresholds={"P1": Thresholds(5.0, 1.0, 0.98, 0.0, 0.1), "P2": Thresholds(10.0, 1.0, 0.97, 0.0, 0.2), "P3": Thresholds(5.0, 2.0, 0.98, 0.0, 0.1), "P4": Thresholds(5.0, 1.0, 0.98, 0.0, 0.1)})
+FACTORS = {"P1": 1.20, "P2": 1.075, "P3": 1.05, "P4": 1.0}
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    """Frames with metrics and signals from an event's value, and the embedding its id falls on."""
+    raw = _read(spark, sf_dir, "events").select("event_id", "value")
+    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), "embedding", F.col("embedding")[0].cast("double").alias("aesthetic_score"))
+    share = lambda k: (F.col("event_id") * k % 101) / 101.0
+    signals = {
+        "luminance": F.col("value"), "sharpness": F.col("value") / 4.0, "uniformity": share(17), "texture": F.lit(1.0), "logo_p": share(29) * 0.55, "closeup": share(31), "num_faces": (F.col("event_id") % 4).cast("int"),
+        "face_area": share(7) / 2, "face_quality": share(37), "face_det_score": share(41), "face_visibility": share(43), "emotion_intensity": share(47), "emotion_label": F.lit("Happiness"), "pose_score": share(53), "pose_label": F.lit("jump"), "iqa_norm": share(59),
+    }
+    frames = _frames(spark, sf_dir).join(raw, "event_id").withColumns(signals).withColumn("v", F.col("event_id") % 500)
+    return frames.join(vectors, "v").withColumn("video_id", F.col("clip_id"))
+
+
+@query(f"""WITH RECURSIVE {FRAMES}, {RUNS},
+seg AS (SELECT *, row_number() OVER (ORDER BY pred_label, clip_id, start_index) - 1 AS segment_id FROM runs),
+lim(pred_label, l, s, u, c, mult) AS (VALUES ('P1', 5e0, 1e0, 0.98e0, 0.1e0, 1.2e0), ('P2', 10e0, 1e0, 0.97e0, 0.2e0, 1.075e0), ('P3', 5e0, 2e0, 0.98e0, 0.1e0, 1.05e0), ('P4', 5e0, 1e0, 0.98e0, 0.1e0, 1e0)),
+cand AS (SELECT f.*, seg.segment_id, lim.c, lim.mult, event_id % 500 AS vid FROM frames f JOIN seg ON f.clip_id = seg.clip_id AND f.pred_label = seg.pred_label AND f.frame_idx BETWEEN seg.start_index AND seg.end_index
+  JOIN lim ON lim.pred_label = f.pred_label JOIN events USING (event_id) WHERE confidence >= 0.40e0 AND value >= l AND value / 4e0 >= s AND (event_id * 17 % 101) / 101e0 <= u),
+v AS MATERIALIZED (SELECT segment_id AS g, event_id AS r, frame_idx, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS size, CAST(embedding[1] AS DOUBLE) AS score FROM cand JOIN embeddings ON vec_id = vid),
+{_greedy_sql("SELECT * FROM v", "list_dot_product(a.e, b.e) / (a.size * b.size + 1e-8) >= 0.10e0")}, {MEMBERS},
+pick AS (SELECT mem.*, score, frame_idx, row_number() OVER (PARTITION BY g, leader ORDER BY score DESC, r) AS k FROM mem JOIN v USING (g, r)),
+t AS (SELECT *, sum(CASE WHEN frame_idx - prev < 600 THEN 0 ELSE 1 END) OVER (PARTITION BY g ORDER BY frame_idx, r) AS c FROM (SELECT *, lag(frame_idx) OVER (PARTITION BY g ORDER BY frame_idx, r) AS prev FROM pick WHERE k = 1)),
+sur AS (SELECT cand.* FROM (SELECT *, row_number() OVER (PARTITION BY g, c ORDER BY score DESC, r) AS k2 FROM t) x JOIN cand ON cand.event_id = x.r AND cand.segment_id = x.g WHERE k2 = 1),
+ok AS (SELECT *, event_id % 4 AS faces, (event_id * 37 % 101) / 101e0 AS fq, (event_id * 7 % 101) / 101e0 / 2 AS fa, (event_id * 41 % 101) / 101e0 AS fd, (event_id * 47 % 101) / 101e0 AS em, (event_id * 53 % 101) / 101e0 AS po, (event_id * 59 % 101) / 101e0 AS iqa
+  FROM sur WHERE (event_id * 29 % 101) / 101e0 * 0.55e0 < 0.5e0 AND (event_id * 31 % 101) / 101e0 >= c),
+sc AS (SELECT *, (0.35e0 / 0.9e0 * iqa + CASE WHEN faces > 0 AND fd > 0.6e0 THEN 0.25e0 / 0.9e0 * fq ELSE 0e0 END + CASE WHEN faces > 0 AND fd > 0.6e0 AND em > 0.01e0 THEN 0.15e0 / 0.9e0 * em ELSE 0e0 END + CASE WHEN po > 0.01e0 THEN 0.15e0 / 0.9e0 * po ELSE 0e0 END) * mult AS fs,
+  faces > 0 AND fq >= 0.4e0 AND fa >= 0.02e0 AND fa <= 0.4e0 AS good FROM ok),
+ti AS (SELECT *, CASE WHEN good AND em > 0.2e0 AND po > 0.15e0 THEN 1 WHEN good AND em > 0.2e0 THEN 2 WHEN po > 0.15e0 THEN 3 ELSE 4 END AS tier FROM sc),
+{_greedy_sql("SELECT clip_id AS g, row_number() OVER (PARTITION BY clip_id ORDER BY fs DESC, segment_id, tier, event_id) AS r, event_id, segment_id, frame_idx, tier, fs, confidence FROM ti WHERE fs >= 0.20e0", "abs(a.frame_idx - b.frame_idx) < 600", "5", "f")}
+SELECT CAST(s.g AS VARCHAR) AS video_id, s.k AS rank, CAST(n.segment_id AS INTEGER) AS segment_id, n.tier AS keyframe_priority, round(n.fs, 4) AS final_score, round(n.confidence, 4) AS model_confidence, CAST(n.event_id AS VARCHAR) AS input_path FROM fst s JOIN fn n ON n.g = s.g AND n.r = s.lead""")
+def ranked_keyframes(spark, sf_dir):
+    """Flagship: the whole chain from a prediction log to ranked frames per clip."""
+    frames = _log(spark, sf_dir).withColumn("frame_path", F.col("event_id"))
+    found = ranking.rank_keyframes(frames, CHAIN, clip=["clip_id"], order=ORDER, path="frame_path", classes={c: c for c in FACTORS}, ignored=["IGNORED"], factors=FACTORS)
+    return found.select("video_id", "rank", "segment_id", "keyframe_priority", "final_score", "model_confidence", "input_path")
+
+
+@query(f"""WITH {FRAMES} SELECT 'frames' AS stage, count(*) AS n FROM frames UNION ALL SELECT 'confident', count(*) FILTER (WHERE confidence >= 0.40e0) FROM frames
+UNION ALL SELECT 'cascade:' || r, count(*) FROM (SELECT CASE WHEN value < coalesce(l, 5e0) THEN 'luminance' WHEN value / 4e0 < coalesce(s, 1e0) THEN 'sharpness' WHEN (event_id * 17 % 101) / 101e0 > coalesce(u, 0.98e0) THEN 'uniformity' ELSE 'kept' END AS r
+  FROM frames JOIN events USING (event_id) LEFT JOIN (VALUES ('P1', 5e0, 1e0, 0.98e0), ('P2', 10e0, 1e0, 0.97e0), ('P3', 5e0, 2e0, 0.98e0), ('P4', 5e0, 1e0, 0.98e0)) lim(pred_label, l, s, u) USING (pred_label)) GROUP BY r""")
+def stage_analytics(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    cascaded = filters.cascade(log, CHAIN.thresholds, "pred_label", "P1")
+    return ranking.analytics(log, CHAIN, cascaded)
