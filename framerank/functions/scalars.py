@@ -115,7 +115,8 @@ def sample_times(start: Column | str, end: Column | str, factor: Column | str) -
     spread = F.transform(F.sequence(F.lit(1), count), lambda i: start + i * (length / (count + 1)))
     step = F.greatest(F.lit(0.5), 5.0 / factor)
     most = F.greatest(F.lit(1), F.bround(10 * factor).cast("int"))
-    paced = F.transform(F.sequence(F.lit(0), F.least(most - 1, F.floor(length / step).cast("int"))), lambda i: start + i * step)
+    # The remainder is exact, the quotient of doubles is not.
+    paced = F.transform(F.sequence(F.lit(0), F.least(most - 1, F.round((length - length % step) / step).cast("int"))), lambda i: start + i * step)
     return F.when(length <= 0, F.array().cast("array<double>")).when(length < 30, spread).otherwise(paced)
 
 

@@ -504,7 +504,7 @@ def shot_intervals(spark, sf_dir):
 f AS (SELECT *, greatest(0.1e0, raw) AS f FROM d),
 c AS (SELECT *, CAST(greatest(1e0, round_even((CASE WHEN length < 3 THEN 1e0 WHEN length < 10 THEN 2e0 ELSE 3e0 END) * f, 0)) AS BIGINT) AS n, greatest(0.5e0, 5e0 / f) AS step, CAST(greatest(1e0, round_even(10 * f, 0)) AS BIGINT) AS most FROM f),
 t AS (SELECT event_id, CASE WHEN length <= 0 THEN CAST([] AS DOUBLE[]) WHEN length < 30 THEN list_transform(range(1, n + 1), lambda i: i * (length / (n + 1)))
-  ELSE list_transform(range(0, least(most, CAST(floor(length / step) AS BIGINT) + 1)), lambda i: i * step) END AS t FROM c)
+  ELSE list_transform(range(0, least(most, CAST(round((length - length % step) / step) AS BIGINT) + 1)), lambda i: i * step) END AS t FROM c)
 SELECT event_id, len(t) AS n, round(coalesce(list_sum(t), 0e0), 4) AS total FROM t""")
 def adaptive_samples(spark, sf_dir):
     factor = {"view": 0.05, "click": 1.0, "signup": 2.5, "purchase": 0.5, "error": 12.0}
