@@ -17,8 +17,10 @@ struct column under the name it is given.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,22 +62,26 @@ def windows(items: list[tuple[object, str | None]], window: int = WINDOW) -> dic
     return {w: sorted(ids) for w, ids in found.items()}
 
 
-def blocks(items: list[tuple[object, str | None]], window: int, block_chars: int) -> list[dict[str, list[str]]]:
-    out: list[dict[str, list[str]]] = [{}]
-    size = 0
-    for w, ids in windows(items, window).items():
-        if size and size + len(w) > block_chars:
-            out.append({})
-            size = 0
-        out[-1][w] = ids
-        size += len(w)
-    return out
+def blocks(items: Iterable[tuple[object, str | None]], window: int, block_chars: int) -> Iterator[dict[str, list[str]]]:
+    """Windows of the items in blocks of at most about `block_chars` characters, made as the items come; at
+    least one block. A window that two blocks hold is found twice and counts once."""
+    held: list[tuple[object, str | None]] = []
+    size, any_block = 0, False
+    for item in items:
+        chars = window * len(item[1] or "")
+        if held and size + chars > block_chars:
+            yield windows(held, window)
+            held, size, any_block = [], 0, True
+        held.append(item)
+        size += chars
+    if held or not any_block:
+        yield windows(held, window)
 
 
-_automata: dict[int, object] = {}
+_automata: dict[str, object] = {}
 
 
-def _automaton(key: int, block: dict[str, list[str]]):
+def _automaton(key: str, block: dict[str, list[str]]):
     """Built once in each worker process; only the last one is kept."""
     import ahocorasick
 
@@ -128,7 +134,9 @@ def scan_text(text: str | None, automaton) -> dict:
     return out
 
 
-def _scanner(shipped, key: int):
+def _scanner(shipped):
+    key = uuid.uuid4().hex  # workers outlive queries: another benchmark never meets this automaton
+
     @F.arrow_udf(RESULT)
     def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _automaton(key, shipped.value)
@@ -138,28 +146,25 @@ def _scanner(shipped, key: int):
     return scanned
 
 
-def load_items(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[object, str | None]]:
-    return [(r[0], r[1]) for r in benchmark.select(id_col, text_col).toLocalIterator()]
-
-
 def scan(docs: DataFrame, benchmark: DataFrame, out: str = "hits", *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """`docs` with a struct column `out`: n_words, n_hit, item_ids, words_hit (word index runs) and
     spans (code-point offsets of the runs in the original text)."""
     spark = docs.sparkSession
     C.arrow_limits(spark)
-    parts = blocks(load_items(benchmark, item_id_col, item_text_col), window, block_chars)
-    udfs = [_scanner(spark.sparkContext.broadcast(b), hash((i, id(b)))) for i, b in enumerate(parts)]
-    if len(udfs) == 1:
-        return docs.withColumn(out, udfs[0](F.col(text_col)))
-    # Several blocks: rows get a number that stays, each block writes only the rows that it hits.
+    parts = blocks(((r[0], r[1]) for r in benchmark.select(item_id_col, item_text_col).toLocalIterator()), window, block_chars)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return docs.withColumn(out, _scanner(spark.sparkContext.broadcast(first))(F.col(text_col)))
+    # Several blocks: rows get a number that stays, each block writes only the rows that it hits. The
+    # driver holds two blocks at a time.
     numbered = C.materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate_rows")
-    n_words = F.col("__hit.n_words")
     hit = None
-    for scanned in udfs:
-        part = C.materialise(numbered.select("__row", scanned(F.col(text_col)).alias("__hit")).where("__hit.n_hit > 0"), "decontaminate_block")
+    for block in chain((first, second), parts):
+        shipped = spark.sparkContext.broadcast(block)
+        part = C.materialise(numbered.select("__row", _scanner(shipped)(F.col(text_col)).alias("__hit")).where("__hit.n_hit > 0"), "decontaminate_block")
+        shipped.destroy()
         hit = part if hit is None else hit.unionByName(part)
     merged = hit.groupBy("__row").agg(
-        F.max(n_words).alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("__hit.item_ids")))).alias("item_ids"),
         F.array_sort(F.flatten(F.collect_list("__hit.words_hit"))).alias("runs"),
     )
