@@ -122,8 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """docs: doc_id, text. labels: doc_id, label. The vocabulary, weights and thresholds."""
     empty = {"place": {}, "w": np.zeros(0), "t": np.arange(GRADES) + 700.0}
     chosen = labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    # At most `sample` ids travel.
-    rows = C.materialise(docs.join(F.broadcast(chosen), "doc_id").select("label", "text"), "toxicity_sample")
+    # At most `sample` ids travel; of rows that repeat an id one counts, so no more come back.
+    rows = C.materialise(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "toxicity_sample")
     n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(n) < 2:
         return empty
