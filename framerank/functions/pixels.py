@@ -74,8 +74,43 @@ def colour_histogram(rgb: np.ndarray, bins: int = 16) -> np.ndarray:
     return (n / (n.sum() + 1e-6)).astype(np.float32)
 
 
+def edges(g: np.ndarray, low: float = 60, high: float = 180) -> np.ndarray:
+    """Edge map: Sobel gradients (|gx| + |gy|), thinned to ridges across the gradient, where ridges above `high` and
+    what is connected to them above `low` count."""
+    p = np.pad(g.astype(np.int32), 1, mode="edge")
+    across, down = p[:, 2:] - p[:, :-2], p[2:] - p[:-2]
+    gx = across[:-2] + 2 * across[1:-1] + across[2:]
+    gy = down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:]
+    strength = np.abs(gx) + np.abs(gy)
+    m = np.pad(strength, 1)
+    slope = np.abs(gy) / np.maximum(np.abs(gx), 1e-9)
+    near = lambda dy, dx: m[1 + dy : 1 + dy + g.shape[0], 1 + dx : 1 + dx + g.shape[1]]
+    flat, steep, falling = slope < np.tan(np.pi / 8), slope > np.tan(3 * np.pi / 8), (gx > 0) == (gy > 0)
+    before = np.select([flat, steep, falling], [near(0, -1), near(-1, 0), near(-1, -1)], near(-1, 1))
+    after = np.select([flat, steep, falling], [near(0, 1), near(1, 0), near(1, 1)], near(1, -1))
+    ridge = (strength > before) & (strength >= after) & (strength > low)
+    strong = ridge & (strength > high)
+    while True:
+        grown = np.pad(strong, 1)
+        around = np.zeros_like(strong)
+        for dy in (0, 1, 2):
+            for dx in (0, 1, 2):
+                around |= grown[dy : dy + g.shape[0], dx : dx + g.shape[1]]
+        more = ridge & around
+        if (more == strong).all():
+            return strong
+        strong = more
+
+
+def texture(g: np.ndarray, width: int = 160) -> float:
+    """Percentage of edge pixels, on at most `width` columns."""
+    h, w = g.shape
+    if w > width:
+        g = np.floor(resized(g, max(1, int(h * width / w)), width) + 0.5).astype(np.uint8)
+    return float(edges(g).mean() * 100)
+
+
 def frame_metrics(rgb: np.ndarray) -> dict[str, float]:
-    """Luminance, sharpness and uniformity from one decoded picture. Edge density needs an edge detector, and is a slot
-    of signals.py."""
+    """The four metrics of the quality cascade from one decoded picture."""
     g = grey(rgb)
-    return {"luminance": luminance(rgb), "sharpness": sharpness(g), "uniformity": uniformity(g)}
+    return {"luminance": luminance(rgb), "sharpness": sharpness(g), "uniformity": uniformity(g), "texture": texture(g)}

@@ -50,7 +50,8 @@ def with_signals(frames: DataFrame, *providers: SignalProvider) -> DataFrame:
     return frames.withColumns({p.name: p.column() for p in providers})
 
 
-_METRICS = T.StructType([T.StructField(c, T.DoubleType()) for c in ("luminance", "sharpness", "uniformity")])
+METRICS = ("luminance", "sharpness", "uniformity", "texture")
+_METRICS = T.StructType([T.StructField(c, T.DoubleType()) for c in METRICS])
 
 
 def _load_metrics():
@@ -59,7 +60,7 @@ def _load_metrics():
         for raw, h, w in zip(picture.to_pylist(), height.to_pylist(), width.to_pylist()):
             whole = raw is not None and h and w and len(raw) == 3 * h * w
             out.append(pixels.frame_metrics(np.frombuffer(raw, np.uint8).reshape(h, w, 3)) if whole else None)
-        return pa.array(out, pa.struct([(c, pa.float64()) for c in ("luminance", "sharpness", "uniformity")]))
+        return pa.array(out, pa.struct([(c, pa.float64()) for c in METRICS]))
 
     return run
 

@@ -19,6 +19,16 @@ def classified(rows: DataFrame, logits: str, labels: Sequence | None = None) ->
     return out if labels is None else out.withColumn("pred", F.get(F.array(*map(F.lit, labels)), F.col("pred")))
 
 
+def mean_probability(rows: DataFrame, p: str, *by: str) -> DataFrame:
+    """Mean of a probability column, overall or per group."""
+    return rows.groupBy(*by).agg(F.avg(p).alias("mean_p"), F.count("*").alias("n"))
+
+
+def latency(batches: DataFrame, seconds: str = "seconds", images: str = "images", warm_up: int = 10, order: str = "batch") -> DataFrame:
+    """Mean milliseconds per image of timed batches, the first `warm_up` left out."""
+    return batches.where(F.col(order) >= warm_up).agg((1000.0 * F.sum(seconds) / F.sum(images)).alias("ms_per_image"))
+
+
 def confusion(rows: DataFrame, domain: Sequence, truth: str = "truth", pred: str = "pred") -> DataFrame:
     """Counts of every (truth, pred) of the domain. The grid has the domain's size squared."""
     spark = rows.sparkSession

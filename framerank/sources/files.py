@@ -101,3 +101,32 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_scores(df: DataFrame, path: str, image: str = "image", score: str = "score") -> None:
     """Image and score with four decimals."""
     write_csv(df.select(image, F.format_string("%.4f", F.col(score)).alias("score")), path)
+
+
+def write_pictures(chosen: DataFrame, folder: str) -> None:
+    """Copies the file at input_path to the name of saved_path under a folder that every executor reaches. Files are
+    written as a whole and named by content, so a repeated task writes the same again."""
+
+    def copy(rows) -> None:
+        from pyarrow import fs
+
+        for row in rows:
+            source, path = fs.FileSystem.from_uri(row.input_path)
+            target, root = fs.FileSystem.from_uri(folder)
+            target.create_dir(root, recursive=True)
+            with source.open_input_stream(path, compression=None) as a, target.open_output_stream(f"{root}/{row.saved_path}", compression=None) as b:
+                b.write(a.read())
+
+    chosen.select("input_path", "saved_path").foreachPartition(copy)
+
+
+def zip_results(folder: str, archive: str) -> list[str]:
+    """All files below a local folder of results in one ZIP; their names."""
+    import zipfile
+    from pathlib import Path
+
+    names = sorted(p for p in Path(folder).rglob("*") if p.is_file())
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for p in names:
+            out.write(p, p.relative_to(folder))
+    return [str(p.relative_to(folder)) for p in names]

@@ -159,6 +159,17 @@ def test_pixels():
     assert pixels.resized(np.arange(16.0).reshape(4, 4), 2, 2).tolist() == [[2.5, 4.5], [10.5, 12.5]]
 
 
+def test_edges():
+    square = np.zeros((40, 40), np.uint8)
+    square[10:30, 10:30] = 200
+    found = pixels.edges(square)
+    assert found.any() and not found[:8].any() and not found[15:25, 15:25].any()
+    assert all(found[r, 8:12].sum() == 1 for r in range(14, 26))
+    assert pixels.texture(np.full((20, 400), 7, np.uint8)) == 0 and 0 < pixels.texture(square) < 20
+    faint = square // 10
+    assert not pixels.edges(faint).any()
+
+
 def test_signal_slots(spark):
     flat = bytes([50]) * 300
     rows = spark.createDataFrame([(flat, 10, 10), (flat, 9, 10), (None, 1, 1)], "rgb binary, height int, width int")

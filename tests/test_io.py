@@ -55,6 +55,29 @@ def test_listing_and_sinks(spark, tmp_path):
     assert [r.frame_idx for r in files.every(frames, "fps", 12).collect()] == [0, 2, 4]
 
 
+def test_pictures_and_zip(spark, tmp_path):
+    (tmp_path / "a.jpg").write_bytes(b"abc")
+    rows = spark.createDataFrame([(f"file://{tmp_path}/a.jpg", "r1.jpg")], "input_path string, saved_path string")
+    files.write_pictures(rows, f"file://{tmp_path}/out")
+    assert (tmp_path / "out/r1.jpg").read_bytes() == b"abc"
+    assert files.zip_results(str(tmp_path / "out"), str(tmp_path / "all.zip")) == ["r1.jpg"]
+
+
+def test_command_line(spark, tmp_path):
+    from framerank.__main__ import config, main
+
+    cfg = config(["--predictions", "p", "--signals", "s", "--output", "o", "--fps", "99", "--w_iqa", "0", "--no_redundancy", "--top_n", "3"])[1]
+    assert (cfg.fps, cfg.redundancy, cfg.top_n, cfg.weights["iqa"]) == (24, None, 3, 0.0)
+    with __import__("pytest").raises(SystemExit):
+        config(["--unknown"])
+    (tmp_path / "p.csv").write_text("game_name,clip_name,frame_path,pred_label,confidence\n" + "".join(f"g,c,video_7_frame_{i:05d}.jpg,Close-up_corner,0.9\n" for i in range(6)))
+    rows = [(f"video_7_frame_{i:05d}.jpg", 80.0, 20.0, 0.5, 6.0, 1, 0.1, 0.8, 0.9, 0.9, 0.5, "Fear", 0.4, "jump", 0.3, 0.5, 0.0, [1.0, float(i % 2)], 0.5) for i in range(6)]
+    spark.createDataFrame(rows, f"frame_path string, {schemas.METRICS}, {schemas.SIGNALS}, embedding array<double>, aesthetic_score double").write.parquet(str(tmp_path / "s"))
+    main(["--predictions", str(tmp_path / "p.csv"), "--signals", str(tmp_path / "s"), "--output", str(tmp_path / "k"), "--top_n", "3"])
+    got = spark.read.schema(schemas.KEYFRAMES).csv(str(tmp_path / "k"), header=True).collect()
+    assert [(r.video_id, r["rank"], r.segment_priority) for r in got] == [("7", 1, "P2_corner")]
+
+
 def test_paged_source(spark, tmp_path):
     asked = []
 
