@@ -57,8 +57,8 @@ def hash_order(key: Column | str, seed: int = 42) -> Column:
 
 def hamming_dedup(items: DataFrame, group: str, order: Sequence[str], key: str, bits: str, most: int = 5, target: int | None = 1437) -> DataFrame:
     """(group, key, kept_rank) of rows kept per group: in order, a row is kept if it differs from every kept one in more
-    than `most` bits (arrays of 64-bit words), until `target` are kept. A group is one task's work; what it holds is
-    the words and the keys."""
+    than `most` bits (arrays of 64-bit words), until `target` are kept. Copies of the same words fall to the first in
+    an aggregate with map-side partials, so a task gets the distinct words of its group and their keys."""
 
     def kept(table: pa.Table) -> pa.Table:
         table = table.sort_by([(f"__o{i}", "ascending") for i in range(len(order))])
@@ -75,7 +75,8 @@ def hamming_dedup(items: DataFrame, group: str, order: Sequence[str], key: str,
         return pa.table({group: out[group], key: out[key], "kept_rank": pa.array(np.arange(1, len(taken) + 1, dtype=np.int32))})
 
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-    rows = items.select(F.col(group), F.col(key), F.col(bits), *(F.expr(o).alias(f"__o{i}") for i, o in enumerate(order)))
+    place = F.struct(*(F.expr(o).alias(f"__o{i}") for i, o in enumerate(order)), F.col(key).alias("__key"))
+    rows = items.groupBy(group, bits).agg(F.min(place).alias("__p")).select(group, bits, F.col("__p.__key").alias(key), *(f"__p.__o{i}" for i in range(len(order))))
     return rows.groupBy(group).applyInArrow(kept, f"{group} {kinds[group]}, {key} {kinds[key]}, kept_rank int")
 
 
