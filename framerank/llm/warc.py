@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from framerank.llm import _common as C
 
 LEAST, CHUNK = 1000, 1 << 20
+#: Shared digests (of 60 bytes) up to this number are broadcast.
+FEW = 500_000
 _ENDS = b"\r\n\r\n"
 TABLE = "page_id long, record_type string, refers_to long, chunk int, data binary, bytes_so_far long, sha1_so_far string, last boolean, payload_bytes long, payload_digest string"
 _ARROW = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk", pa.int32()), ("data", pa.binary()), ("bytes_so_far", pa.int64()), ("sha1_so_far", pa.string()), ("last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
@@ -45,8 +47,9 @@ def classify(pages: DataFrame, least: int = LEAST) -> DataFrame:
     html = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
     rows = pages.select("page_id", "url", html.alias("html")).withColumns({"size": F.octet_length("html").cast("long"), "sha1": F.sha1("html")})
     shared = rows.where(F.col("size") >= least).groupBy("sha1", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # Only digests that occur twice are looked up.
-    found = rows.join(shared, ["sha1", "size"], "left")
+    # Only digests that occur twice are looked up. If they are few they travel to the pages, else both meet in a shuffle.
+    shared = C.materialise(shared, "warc_shared")
+    found = rows.join(F.broadcast(shared) if shared.count() <= FEW else shared, ["sha1", "size"], "left")
     return found.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
 
 
