@@ -1,21 +1,23 @@
 """Resharding by minimum-cost flow.
 
 From the bytes that each old shard holds and the bytes that each new shard is to hold, a flow is
-solved in which staying costs nothing and moving costs its bytes, so the fewest bytes move. Each
-old shard's rows, largest first, are then cut into runs as the flow says: what stays comes first, so
-the rows that move and the rows at the cuts are the smallest. A second pass over
-the outcome evens out what large rows at a cut left, again with the smallest rows.
+solved in which staying costs nothing and moving costs its bytes, so the fewest bytes move. The
+blocks that move are groups of rows (equal texts) or single rows. Each old shard's blocks, largest
+first, are cut into runs as the flow says: what stays comes first, so the blocks that move and those
+at the cuts are the smallest. Further passes over the outcome even out what large blocks at a cut
+left. Groups of more than half a shard's bytes are dealt out by rows.
 
 The flow has one node per shard and is solved on the driver from one sum per shard. Running sums
-over all rows are taken in range partitions of at most about `RANGE_ROWS` rows: each partition sums
-its own rows, and the driver adds up one total per partition and shard. Slots are numbered the same
-way. No task gets a whole shard.
+over all blocks are taken in range partitions of about `RANGE_ROWS` blocks: each partition sums its
+own, and the driver adds up one total per partition and shard. Slots are numbered the same way over
+the input's partitions. No task gets a whole shard, and a group's size is an aggregate with map-side
+partials; the join that hands a group's shard to its rows can be split by AQE.
 
 `rewrite` writes only the shards that a plan changes, and a manifest that points to the old files of
 the others.
 
 Cases: a null text has size 1 (no bytes, plus 1) and the CRC-32 of nothing. Repeated rows are dealt
-like any others; equal texts may part. A null doc_id has an old shard like any value. More shards
+like any others. A null doc_id doesn't matter. More shards
 than rows leaves shards empty. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from framerank.llm import _common as C
 
-SHARDS, RANGE_ROWS = 8, 250_000
+SHARDS, RANGE_ROWS, PASSES = 8, 250_000, 3
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -117,20 +119,36 @@ def _running(parts: DataFrame, shard: str, order: list, amount, out: str) -> Dat
     return parts.join(offsets, ["part", shard]).withColumn(out, F.col("offset") + F.coalesce(here, F.lit(0))).drop("offset")
 
 
-def reshard(rows: DataFrame, shards: int = SHARDS, capacity: list[int] | None = None) -> DataFrame:
-    """rows: any columns, with old (int) and size (long). Adds shard (int) and slot (long, from 0
-    without gaps in each shard)."""
-    now = C.materialise(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.col("old").cast("int")), "reshard_rows")
-    # The second pass moves what the cuts of the first were off, now among the smallest rows.
-    for _ in range(2):
+def _spread(blocks: DataFrame, shards: int, capacity: list[int] | None) -> DataFrame:
+    """blocks: key, shard (where it is now), size. The same with the new shard. Each pass moves what the cuts of the
+    one before were off, among ever smaller blocks."""
+    now = blocks
+    for _ in range(PASSES):
         n, held = 0, {}
         for r in now.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).collect():  # one row a shard
             n, held = n + r.n, held | {r.shard: r.bytes}
-        order = [F.col("shard"), F.desc("size"), F.col("row")]
+        order = [F.col("shard"), F.desc("size"), F.col("key")]
         ranged = C.materialise(now.drop("part").repartitionByRange(max(1, -(-n // RANGE_ROWS)), *order).withColumn("part", F.spark_partition_id()), "reshard_ranges")
         placed = _running(ranged, "shard", order[1:], F.col("size"), "before")
         now = C.materialise(placed.withColumn("shard", _cut(transfers(held, shards, capacity))).drop("before"), "reshard_shards")
-    return _running(now, "shard", [F.col("row")], F.lit(1).cast("long"), "slot").drop("part", "row")
+    return now.drop("part")
+
+
+def reshard(rows: DataFrame, shards: int = SHARDS, capacity: list[int] | None = None) -> DataFrame:
+    """rows: any columns, with old (int), size (long) and group (long; rows of a group stay together, null stands
+    alone). Adds shard (int) and slot (long, from 0 without gaps in each shard)."""
+    kept = C.materialise(rows.withColumn("row", F.monotonically_increasing_id()), "reshard_rows")
+    groups = kept.where("group is not null").groupBy("group").agg(F.sum("size").alias("size"))
+    least = min(capacity) if capacity else (kept.agg(F.sum("size")).first()[0] or 0) / shards
+    # Groups too large for that: at most 2 a shard's bytes, whose rows go their own ways.
+    large = [r.group for r in groups.where(F.col("size") > max(1.0, least / 2)).select("group").collect()]
+    alone = F.col("group").isNull() | F.col("group").isin(large)
+    keyed = kept.withColumn("key", F.when(alone, F.xxhash64("row", F.lit("row"))).otherwise(F.xxhash64("group", F.lit("group"))))
+    blocks = C.materialise(keyed.groupBy("key").agg(F.min("old").cast("int").alias("shard"), F.sum("size").alias("size")), "reshard_blocks")
+    placed = keyed.join(_spread(blocks, shards, capacity).select("key", "shard"), "key").drop("key")
+    # The input's own partitions number the slots.
+    sharded = C.materialise(placed.withColumn("part", F.shiftright("row", 33).cast("int")), "reshard_placed")
+    return _running(sharded, "shard", [F.col("row")], F.lit(1).cast("long"), "slot").drop("part", "row")
 
 
 def _cut(runs: dict[int, list[tuple[int, int]]]):
@@ -160,10 +178,12 @@ def rewrite(data: DataFrame, plan: DataFrame, key: str, current: dict[int, str],
 
 
 def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The columns of op9, by the law `bytes`. The old shards are those of a hash of doc_id."""
+    """The columns of op9, by the law `bytes`. The old shards are those of a hash of the text, so equal texts start
+    together, and they stay together."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    group = F.xxhash64(text)
     rows = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("old"),
+        group.alias("group"), F.pmod(F.shiftright(group, 20), F.lit(shards)).cast("int").alias("old"),
     )
     return reshard(rows, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
