@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framerank.config import SAMPLE_FACTOR
 from framerank.functions import scalars as S
@@ -55,29 +56,93 @@ def hash_order(key: Column | str, seed: int = 42) -> Column:
     return F.xxhash64(F.lit(seed), F.col(key) if isinstance(key, str) else key)
 
 
+#: Candidates of a group that one round of dedup looks at.
+ROUND = 20_000
+
+
+def _words(column: pa.ChunkedArray) -> np.ndarray:
+    return _rows(column).astype(np.int64).view(np.uint64)
+
+
+def _apart(x: np.ndarray, most: int, target: int | None) -> list[int]:
+    """Positions kept, in order: each differs from every kept one before it in more than `most` bits."""
+    free = np.ones(len(x), bool)
+    taken: list[int] = []
+    while free.any() and (target is None or len(taken) < target):
+        i = int(np.argmax(free))
+        taken.append(i)
+        free[: i + 1] = False
+        rest = np.flatnonzero(free)
+        free[rest[np.bitwise_count(x[rest] ^ x[i]).sum(axis=1) <= most]] = False
+    return taken
+
+
+def _far_from(kept: dict[object, np.ndarray], most: int):
+    """Whether words differ from all that their group has kept."""
+
+    @F.arrow_udf(T.BooleanType())
+    def far(groups: pa.Array, bits: pa.Array) -> pa.Array:
+        x = bits.flatten().to_numpy(zero_copy_only=False).reshape(len(groups), -1).astype(np.int64).view(np.uint64) if len(groups) else np.empty((0, 1), np.uint64)
+        out = np.ones(len(x), bool)
+        names = groups.to_pylist()
+        for g in set(names) & set(kept):
+            at = np.flatnonzero([n == g for n in names])
+            for words in kept[g]:
+                at = at[np.bitwise_count(x[at] ^ words).sum(axis=1) > most]
+            mine = np.zeros(len(x), bool)
+            mine[at] = True
+            out &= mine | np.array([n != g for n in names])
+        return pa.array(out)
+
+    return far
+
+
 def hamming_dedup(items: DataFrame, group: str, order: Sequence[str], key: str, bits: str, most: int = 5, target: int | None = 1437) -> DataFrame:
     """(group, key, kept_rank) of rows kept per group: in order, a row is kept if it differs from every kept one in more
     than `most` bits (arrays of 64-bit words), until `target` are kept. Copies of the same words fall to the first in
-    an aggregate with map-side partials, so a task gets the distinct words of its group and their keys."""
-
-    def kept(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(f"__o{i}", "ascending") for i in range(len(order))])
-        x = _rows(table[bits]).astype(np.int64).view(np.uint64)
-        free = np.ones(len(x), bool)
-        taken: list[int] = []
-        while free.any() and (target is None or len(taken) < target):
-            i = int(np.argmax(free))
-            taken.append(i)
-            free[: i + 1] = False
-            rest = np.flatnonzero(free)
-            free[rest[np.bitwise_count(x[rest] ^ x[i]).sum(axis=1) <= most]] = False
-        out = table.take(pa.array(taken, pa.int64()))
-        return pa.table({group: out[group], key: out[key], "kept_rank": pa.array(np.arange(1, len(taken) + 1, dtype=np.int32))})
-
+    an aggregate with map-side partials. With a target the rest goes in rounds: a task sees the first ROUND of a
+    group's rows that are still far from everything kept, so no task and no row list grows with the group; what
+    comes back, and meets the rows again, is at most `target` words a group. Without one a group is one task's work."""
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-    place = F.struct(*(F.expr(o).alias(f"__o{i}") for i, o in enumerate(order)), F.col(key).alias("__key"))
-    rows = items.groupBy(group, bits).agg(F.min(place).alias("__p")).select(group, bits, F.col("__p.__key").alias(key), *(f"__p.__o{i}" for i in range(len(order))))
-    return rows.groupBy(group).applyInArrow(kept, f"{group} {kinds[group]}, {key} {kinds[key]}, kept_rank int")
+    marks = [f"__o{i}" for i in range(len(order))]
+    place = F.struct(*(F.expr(o).alias(m) for o, m in zip(order, marks)), F.col(key).alias("__key"))
+    rows = items.groupBy(group, bits).agg(F.min(place).alias("__p")).select(group, bits, "__p")
+
+    def chosen(limit: dict[object, int] | None):
+        def pick(table: pa.Table) -> pa.Table:
+            table = table.append_column("__n", pa.array(np.arange(len(table)))) if "__n" not in table.column_names else table.sort_by("__n")
+            most_of = None if limit is None else limit.get(table[group][0].as_py(), target)
+            found = _apart(_words(table[bits]), most, most_of)
+            out = table.take(pa.array(found, pa.int64()))
+            return pa.table({group: out[group], key: out["__key"], bits: out[bits], "kept_rank": pa.array(np.arange(1, len(found) + 1, dtype=np.int32)), "seen": pa.array([len(table)] * len(found), pa.int64())})
+
+        return pick
+
+    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, {bits} {kinds[bits]}, kept_rank int, seen long"
+    first = Window.partitionBy(group).orderBy("__p")
+    numbered = lambda df: df.withColumn("__n", F.row_number().over(first)).withColumn("__key", F.col("__p.__key")).drop("__p")
+    if target is None:
+        return numbered(rows).groupBy(group).applyInArrow(chosen(None), schema).select(group, key, "kept_rank")
+    rows = rows.persist()
+    kept: dict[object, list[tuple]] = {}
+    closed: set = set()
+    while True:
+        rest = rows
+        if kept:
+            words = {g: np.array([r[1] for r in own], np.int64).view(np.uint64) for g, own in kept.items() if g not in closed}
+            done = [g for g in closed if g is not None]
+            rest = rest.where(F.coalesce(~F.col(group).isin(done), F.lit(None not in closed))) if closed else rest
+            rest = rest.where(_far_from(words, most)(group, bits))
+        batch = numbered(rest).where(F.col("__n") <= ROUND)
+        found = batch.groupBy(group).applyInArrow(chosen({g: target - len(own) for g, own in kept.items()}), schema).collect()
+        for r in sorted(found, key=lambda r: r["kept_rank"]):
+            kept.setdefault(r[group], []).append((r[key], r[bits]))
+        seen = {r[group]: r["seen"] for r in found}
+        closed |= {g for g, own in kept.items() if len(own) >= target or seen.get(g, 0) < ROUND}
+        if set(kept) <= closed:
+            break
+    rows.unpersist()
+    return items.sparkSession.createDataFrame([(g, k, n) for g, own in kept.items() for n, (k, _) in enumerate(own, 1)], f"{group} {kinds[group]}, {key} {kinds[key]}, kept_rank int")
 
 
 # Counts ---------------------------------------------------------------------------------------

@@ -188,6 +188,20 @@ def test_hash_dedup_stops_at_target(spark):
     assert kept(None) == [0, 2, 5] and kept(2) == [0, 2]
 
 
+def test_hash_dedup_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 62, 12)
+    bits = [int(b) ^ (1 << int(rng.integers(0, 60))) for b in rng.choice(base, 300)] + [int(b) for b in rng.integers(0, 1 << 62, 40)]
+    rows = spark.createDataFrame([("ab"[i % 2], i, [v, 7]) for i, v in enumerate(bits)], "l string, k int, bits array<long>")
+    kept = lambda: sorted(map(tuple, dataset.hamming_dedup(rows, "l", ["k % 7", "k"], "k", "bits", 5, 25).collect()))
+    whole = kept()
+    monkeypatch.setattr(dataset, "ROUND", 6)
+    assert kept() == whole and len(whole) > 20
+    free = sorted(map(tuple, dataset.hamming_dedup(rows, "l", ["k % 7", "k"], "k", "bits", 5, None).where("kept_rank <= 25").collect()))
+    assert free == whole
+    assert dataset.hamming_dedup(rows.limit(0), "l", ["k"], "k", "bits").count() == 0
+
+
 def test_folders(spark):
     files = spark.createDataFrame([("d/a/x.json",), ("d/a/y.mkv",), ("d/b/x.json",), ("d\\c\\p.jpg",)], "path string")
     assert [r.folder for r in dataset.complete_folders(files, ["x.json", "y.mkv"]).collect()] == ["d/a"]
