@@ -610,6 +610,65 @@ def aesthetic_and_uniformity(spark, sf_dir):
     return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(S.aesthetic("embedding", weights, 5.0), 6).alias("aesthetic"), F.round(S.uniformity(F.transform("embedding", lambda x: F.abs(x.cast("double")))), 6).alias("uniformity"))
 
 
+# Poses and persons ----------------------------------------------------------------------------
+
+
+def _joint_sql(i: int, name: str) -> str:
+    return f"100e0 * CAST(embedding[{3 * i + 1}] AS DOUBLE) AS {name}x, 100e0 * CAST(embedding[{3 * i + 2}] AS DOUBLE) AS {name}y, least(1e0, 0.35e0 + 5e0 * abs(CAST(embedding[{3 * i + 3}] AS DOUBLE))) AS {name}c"
+
+
+_POSE_JOINTS = {"ls": 5, "rs": 6, "lw": 9, "rw": 10, "lh": 11, "rh": 12, "lk": 13, "rk": 14}
+
+
+def _angle_sql(s: str, w: str, h: str) -> str:
+    t, a = f"sqrt(power({h}x - {s}x, 2) + power({h}y - {s}y, 2))", f"sqrt(power({w}x - {s}x, 2) + power({w}y - {s}y, 2))"
+    return f"CASE WHEN {t} < 1e-6 OR {a} < 1e-6 THEN 0e0 ELSE degrees(acos(least(1e0, greatest(-1e0, (({h}x - {s}x) * ({w}x - {s}x) + ({h}y - {s}y) * ({w}y - {s}y)) / ({t} * {a}))))) END"
+
+
+POSES = f"""j AS (SELECT vec_id, {", ".join(_joint_sql(i, n) for n, i in _POSE_JOINTS.items())} FROM embeddings),
+a AS (SELECT *, (greatest(lsc, rsc) + greatest(lhc, rhc)) / 2 AS core, (lsy + rsy) / 2 AS sy, (lhy + rhy) / 2 AS hy, {_angle_sql("ls", "lw", "lh")} AS la, {_angle_sql("rs", "rw", "rh")} AS ra, greatest(lhc, rhc) >= 0.45e0 AS hips FROM j),
+t AS (SELECT *, abs(hy - sy) AS torso, greatest(lsc, rsc) >= 0.40e0 AND greatest(lwc, rwc) >= 0.30e0 AND core >= 0.50e0 AND abs(hy - sy) >= 1e-6 AS usable FROM a),
+u AS (SELECT *, (sy - lwy) / torso AS lu, (sy - rwy) / torso AS ru, least((hy - lky) / torso, (hy - rky) / torso) AS knees FROM t WHERE torso > 0),
+r AS (SELECT *, lu > 0.35e0 AND (NOT hips OR la > 80) AS l, ru > 0.35e0 AND (NOT hips OR ra > 80) AS r FROM u),
+s AS (SELECT *, CASE WHEN lu > 0.20e0 AND ru > 0.20e0 AND la > 100 AND ra > 100 THEN 0.6e0 * least(1e0, greatest(0e0, ((lu + ru) / 2 - 0.45e0) / 0.5e0)) + 0.4e0 * least((la + ra) / 240, 1e0) END AS p1,
+  CASE WHEN hips AND lkc > 0.40e0 AND rkc > 0.40e0 AND knees > 0.60e0 THEN least(1e0, greatest(0e0, (knees - 0.55e0) / 0.4e0)) END AS p2,
+  CASE WHEN least(lky, rky) > hy + 0.3e0 * torso AND abs(sy - hy) < 0.3e0 * torso THEN 0.85e0 END AS p3,
+  CASE WHEN lwy < sy AND rwy < sy AND abs(lwx - rwx) < abs(rsx - lsx) * 0.8e0 AND lwc > 0.60e0 AND rwc > 0.60e0 THEN 0.75e0 END AS p4,
+  CASE WHEN l <> r AND CASE WHEN l THEN lwc ELSE rwc END > 0.20e0 THEN (0.6e0 * least(1e0, greatest(0e0, (CASE WHEN l THEN lu ELSE ru END - 0.40e0) / 0.6e0)) + 0.4e0 * least((CASE WHEN l THEN la ELSE ra END - 75) / 90, 1e0)) * least(CASE WHEN l THEN lwc ELSE rwc END / 0.50e0, 1e0) END AS p5 FROM r),
+b AS (SELECT *, greatest(coalesce(p1, -9e9), coalesce(p2, -9e9), coalesce(p3, -9e9), coalesce(p4, -9e9), coalesce(p5, -9e9)) AS top FROM s)"""
+
+
+@query(f"""WITH {POSES} SELECT vec_id, CASE WHEN usable AND top > -1e9 THEN round(top * core, 6) ELSE 0e0 END AS score, CASE WHEN NOT usable OR top < -1e9 THEN 'none' WHEN p1 = top THEN 'arms_raised' WHEN p2 = top THEN 'jump'
+WHEN p3 = top THEN 'slide' WHEN p4 = top THEN 'hands_on_head' ELSE 'one_arm_up' END AS label FROM b""")
+def pose_rules(spark, sf_dir):
+    at = lambda i: F.col("embedding")[i].cast("double")
+    kps = F.array(*(F.struct((100.0 * at(3 * i)).alias("x"), (100.0 * at(3 * i + 1)).alias("y"), F.least(F.lit(1.0), 0.35 + 5.0 * F.abs(at(3 * i + 2))).alias("conf")) for i in range(17)))
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", kps.alias("k")).select("vec_id", S.best_pose(S.pose_scores("k")).alias("best"))
+    return rows.select("vec_id", F.round("best.score", 6).alias("score"), F.col("best.label").alias("label"))
+
+
+def _person_sql(k: int) -> str:
+    e = lambda i: f"CAST(embedding[{5 * k + i}] AS DOUBLE)"
+    return f"SELECT vec_id, {k} AS i, 50e0 + 150e0 * {e(1)} AS x1, 40e0 + 150e0 * {e(2)} AS y1, 70e0 + 150e0 * {e(1)} + 200e0 * abs({e(3)}) AS x2, 60e0 + 150e0 * {e(2)} + 200e0 * abs({e(4)}) AS y2, abs({e(5)}) AS conf FROM embeddings"
+
+
+@query(f"""WITH p AS ({" UNION ALL ".join(_person_sql(k) for k in range(4))}),
+q AS (SELECT *, greatest(0e0, x2 - x1) * greatest(0e0, y2 - y1) / 12800e0 AS share, 1e0 - sqrt(power(abs((x1 + x2) / 2 - 80) / 80, 2) + power(abs((y1 + y2) / 2 - 40) / 40, 2)) AS centre FROM p),
+s AS (SELECT *, CASE WHEN share >= 0.04e0 THEN 0.40e0 * least(share / 0.25e0, 1e0) + 0.30e0 * greatest(0e0, centre) + 0.30e0 * conf ELSE 0e0 END AS score FROM q),
+b AS (SELECT vec_id, arg_max(x1, score) FILTER (WHERE score > 0) AS x1, max(share) AS closeup FROM s GROUP BY vec_id)
+SELECT vec_id, round(x1, 6) AS x1, round(closeup, 6) AS closeup FROM b""")
+def dominant_person(spark, sf_dir):
+    def one(k: int):
+        e = lambda i: F.col("embedding")[5 * k + i].cast("double")
+        x, y = 150.0 * e(0), 150.0 * e(1)
+        box = F.struct((50.0 + x).alias("x1"), (40.0 + y).alias("y1"), (70.0 + x + 200.0 * F.abs(e(2))).alias("x2"), (60.0 + y + 200.0 * F.abs(e(3))).alias("y2"))
+        return F.struct(box.alias("bbox"), F.abs(e(4)).alias("conf"))
+
+    people = _read(spark, sf_dir, "embeddings").select("vec_id", F.array(*map(one, range(4))).alias("p"))
+    w, h = F.lit(160.0), F.lit(80.0)
+    return people.select("vec_id", F.round(S.dominant_person("p", w, h)["bbox"]["x1"], 6).alias("x1"), F.round(S.closeup_ratio("p", w, h), 6).alias("closeup"))
+
+
 # The whole chain --------------------------------------------------------------------------------
 
 CHAIN = RankConfig(min_length=3, temporal_window=600, visual_threshold=0.10, top_n=5, thresholds={"P1": Thresholds(5.0, 1.0, 0.98, 0.0, 0.1), "P2": Thresholds(10.0, 1.0, 0.97, 0.0, 0.2), "P3": Thresholds(5.0, 2.0, 0.98, 0.0, 0.1), "P4": Thresholds(5.0, 1.0, 0.98, 0.0, 0.1)})
