@@ -165,11 +165,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, out: str = "hits", *, text_col:
         shipped.destroy()
         hit = part if hit is None else hit.unionByName(part)
     merged = hit.groupBy("__row").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__hit.item_ids")))).alias("item_ids"),
-        F.array_sort(F.flatten(F.collect_list("__hit.words_hit"))).alias("runs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__hit.item_ids")))).alias("__ids"),
+        F.array_sort(F.flatten(F.collect_list("__hit.words_hit"))).alias("__runs"),
     )
     joined = numbered.join(merged, "__row", "left")
-    return joined.withColumn(out, _merge(F.col(text_col), F.col("runs"), F.col("item_ids"))).select(*docs.columns, out)
+    return joined.withColumn(out, _merge(F.col(text_col), F.col("__runs"), F.col("__ids"))).select(*docs.columns, out)
 
 
 @F.arrow_udf(RESULT)

@@ -24,7 +24,7 @@ TEXTS = [None, "", "a b", f"Hey, W0 w1-w2 {LONG} end", "x short, Ã© É item",
 
 
 def test_matches_brute_force(spark, docs_of):
-    docs = docs_of([(i, t, "x") for i, t in enumerate(TEXTS)], ", hits string")
+    docs = docs_of([(i, t, "x", 1) for i, t in enumerate(TEXTS)], ", hits string, runs int")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     for block in (D.BLOCK_CHARS, 40):
         got = {r.doc_id: (r.h.n_words, r.h.n_hit, r.h.item_ids) for r in D.scan(docs, items, "h", block_chars=block).collect() if r.h.n_hit or r.h.item_ids is not None}
