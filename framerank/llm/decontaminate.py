@@ -169,7 +169,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, out: str = "hits", *, text_col:
         F.array_sort(F.flatten(F.collect_list("__hit.words_hit"))).alias("__runs"),
     )
     joined = numbered.join(merged, "__row", "left")
-    return joined.withColumn(out, _merge(F.col(text_col), F.col("__runs"), F.col("__ids"))).select(*docs.columns, out)
+    return joined.withColumn(out, _merge(F.col(text_col), F.col("__runs"), F.col("__ids"))).select(*(c for c in docs.columns if c != out), out)
 
 
 @F.arrow_udf(RESULT)
