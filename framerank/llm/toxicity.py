@@ -105,13 +105,15 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int
     for step in range(1, rounds + 1):
         w, raw = theta[:d], theta[d:]
         t = raw[0] + np.concatenate(([0], np.cumsum(np.exp(raw[1:]))))
-        above = np.concatenate((np.ones((len(x), 1)), cumulative((x @ w)[:, None] - t[None]), np.zeros((len(x), 1))), axis=1)
+        # Products in the precision of x, so that it is never copied to another.
+        xw = (x @ w.astype(x.dtype)).astype(np.float64)
+        above = np.concatenate((np.ones((len(x), 1)), cumulative(xw[:, None] - t[None]), np.zeros((len(x), 1))), axis=1)
         p = np.maximum(above[np.arange(len(y)), y] - above[np.arange(len(y)), y + 1], 1e-12)
         slope = above * (1 - above)
         dz = (slope[np.arange(len(y)), y] - slope[np.arange(len(y)), y + 1]) / p
         dt = np.array([-(slope[y == j, j] / p[y == j]).sum() + (slope[y == j - 1, j] / p[y == j - 1]).sum() for j in k + 1])
         gaps = [dt[j:].sum() * np.exp(raw[j]) for j in k[1:]]
-        grad = np.concatenate((ridge * w - x.T @ dz, [-dt.sum()], -np.array(gaps))) / len(y)
+        grad = np.concatenate((ridge * w - x.T @ dz.astype(x.dtype), [-dt.sum()], -np.array(gaps))) / len(y)
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     raw = theta[d:]
@@ -157,6 +159,7 @@ def predict(text: Column, model: dict) -> Column:
     """Struct column (severity, grade, score)."""
 
     @F.arrow_udf(RESULT)
+    @C.tidy
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         place, w, t = model["place"], model["w"], model["t"]
         for texts in batches:
