@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from framerank.llm import _common as C
 
 TOP, MOST_LANGUAGES = 300, 2000
+#: Texts whose n-grams a worker holds at once.
+SLICE = 200
 UNKNOWN = "und"
 _PAD = 32
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -56,9 +58,9 @@ class Grams:
         present[sign] = True
         self.signs = np.flatnonzero(present)
         self.base = b = len(self.signs)
-        place = np.zeros(0x110000, np.int64)
-        place[self.signs] = np.arange(b)
         kind = np.int32 if b + b**2 + b**3 < 1 << 31 else np.int64
+        place = np.zeros(0x110000, kind)
+        place[self.signs] = np.arange(b)
         d, pad = place[sign], sign == _PAD
         self.one = np.where(pad, -1, d).astype(kind)
         self.two = np.where(pad[:-1] & pad[1:], -1, b + d[:-1] * b + d[1:]).astype(kind)
@@ -118,7 +120,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
         held.clear()
 
-    for batch in batches:
+    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         grams = Grams(texts)
         rows = defaultdict(list)
@@ -142,7 +144,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(rows: DataFrame, top: int = TOP) -> dict[str, list[int]]:
     """rows: lang and text. Each language's n-grams, most frequent first."""
     C.arrow_limits(rows.sparkSession)
-    counts = rows.where(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long")
+    counts = rows.where(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(C.tidy(_counts), "lang string, gram long, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= top)
     found: dict[str, list[int]] = defaultdict(list)
@@ -186,10 +188,14 @@ def predict(text: Column, profiles: dict[str, list[int]], top: int = TOP) -> Col
     """Struct column (lang, score): score is 1 for a ranking that equals the profile's, 0 for none in common."""
 
     @F.arrow_udf(RESULT)
+    @C.tidy
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model(profiles, top)
         for texts in batches:
-            yield pa.array(model.predict(texts.to_pylist()), _ARROW)
+            out: list[dict] = []
+            for at in range(0, len(texts), SLICE):
+                out += model.predict(texts.slice(at, SLICE).to_pylist())
+            yield pa.array(out, _ARROW)
 
     return predicted(text)
 
