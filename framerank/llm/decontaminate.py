@@ -138,6 +138,7 @@ def _scanner(shipped):
     key = uuid.uuid4().hex  # workers outlive queries: another benchmark never meets this automaton
 
     @F.arrow_udf(RESULT)
+    @C.tidy
     def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _automaton(key, shipped.value)
         for texts in batches:

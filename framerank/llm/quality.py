@@ -72,6 +72,7 @@ def statistics(text: str | None) -> list[float]:
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
+@C.tidy
 def _statistics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array([statistics(t) for t in texts.to_pylist()], pa.list_(pa.float64()))

@@ -67,6 +67,7 @@ def fingerprint(text: str | None) -> int:
 
 
 @F.arrow_udf(T.LongType())
+@C.tidy
 def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array(np.fromiter(map(fingerprint, texts.to_pylist()), np.uint64, len(texts)).view(np.int64))
@@ -228,7 +229,7 @@ def links(distinct: DataFrame) -> DataFrame:
     else:
         # A task's name is a hash: two tasks under one name would only be compared in vain.
         below = below.select("fp", F.xxhash64("t", "top").alias("task"))
-    return below.select("task", "fp").repartition("task").sortWithinPartitions("task").mapInArrow(_walk, "a long, b long")
+    return below.select("task", "fp").repartition("task").sortWithinPartitions("task").mapInArrow(C.tidy(_walk), "a long, b long")
 
 
 def groups(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
