@@ -26,6 +26,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ from framerank.llm import _common as C
 
 END = "</w>"
 #: Pieces whose encodings one generation of a worker's memory holds, and token pairs it remembers.
-KEPT, PAIRS = 200_000, 500_000
+KEPT, PAIRS = 80_000, 200_000
+#: Texts whose pieces a worker holds at once, and bytes of text in a batch: ids and tokens take about four times as much.
+SLICE, SLICE_BYTES = 400, 3 << 20
 _NEVER = 1 << 40
 #: White space as the vocabulary's own pattern knows it.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -59,8 +62,6 @@ class Vocabulary:
         model = spec["model"]
         ids = model["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = dict((i, t) for t, i in ids.items()) | {i: t for t, i in self.added.items()}
-        self.unknown = len(ids) + len(self.added)
         self.merges: dict[int, int] = {}
         split: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -68,16 +69,15 @@ class Vocabulary:
             a, b, c = ids[left], ids[right], ids[left + right]
             self.merges[a << 20 | b] = rank
             split[c] = (a, b, rank)
-        # What stands at a token's right (left) border, and the rank of the merge that takes it in.
-        self.right, self.left = ({t: self._border(t, split, side) for t in ids.values()} for side in (1, 0))
+        self.split = split
         sound: dict[int, bool] = {}
         for t in sorted(ids.values(), key=lambda t: split[t][2] if t in split else -1):
             sound[t] = t not in split or (sound[split[t][0]] and sound[split[t][1]] and not self._crossed(split[t][0], split[t][1], split[t][2]))
         self.inner = {t: i for t, i in ids.items() if sound[i] and not t.endswith(END)}
         self.final = {t[: -len(END)]: i for t, i in ids.items() if sound[i] and t.endswith(END)}
-        self.longest = max(map(len, ids))
+        self.inner_ends, self.final_ends = self._ends(self.inner), self._ends(self.final)
         self.fits: dict[int, bool] = {}
-        self.packed = {i: struct.pack("<I", i) for i in self.names}
+        self.packed = {i: struct.pack("<I", i) for i in [*ids.values(), *self.added.values()]}
         self.symbols = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cut_words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACE + r"\p{L}\p{N}]+")
@@ -86,40 +86,54 @@ class Vocabulary:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    @staticmethod
-    def _border(token: int, split: dict[int, tuple[int, int, int]], side: int) -> list[tuple[int, int]]:
+    def _border(self, token: int, side: int) -> list[tuple[int, int]]:
+        """What stands at a token's left (0) or right (1) border, and the rank of the merge that takes it in."""
         out = [(token, _NEVER)]
-        while token in split:
-            rank = split[token][2]
-            token = split[token][side]
-            out.append((token, rank))
+        while token in self.split:
+            halves = self.split[token]
+            token = halves[side]
+            out.append((token, halves[2]))
         return out
 
     def _crossed(self, a: int, b: int, before: int = _NEVER) -> bool:
         """A merge across the border of a and b comes before both are whole (or before a rank)."""
-        for p, taken in self.right[a]:
-            for q, gone in self.left[b]:
-                rank = self.merges.get(p << 20 | q)
+        left = self._border(b, 0)
+        merges = self.merges
+        for p, taken in self._border(a, 1):
+            for q, gone in left:
+                rank = merges.get(p << 20 | q)
                 # Of equal ranks the left pair merges first.
                 if rank is not None and rank < taken and rank <= gone and rank < before:
                     return True
         return False
 
     def _fit(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            found = self.fits[key] = not self._crossed(a, b)
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        found = self.fits[a << 20 | b] = not self._crossed(a, b)
         return found
 
-    def _last(self, word: str, i: int, last: list[int], size: list[int], tokens: dict[str, int]) -> tuple[int, int]:
+    @staticmethod
+    def _ends(tokens: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Lengths, longest first, of the tokens that end in the same three symbols, and 2 and 1."""
+        found: dict[str, set[int]] = {}
+        for t in tokens:
+            if len(t) > 2:
+                found.setdefault(t[-3:], set()).add(len(t))
+        return {end: (*sorted(sizes, reverse=True), 2, 1) for end, sizes in found.items()}
+
+    def _last(self, word: str, i: int, last: list[int], size: list[int], tokens: dict[str, int], ends: dict[str, tuple[int, ...]]) -> tuple[int, int]:
         """The last token of the encoding of word[:i], and its length."""
-        for n in range(min(i, self.longest), 0, -1):
-            t = tokens.get(word[i - n : i])
-            if t is not None and (n == i or (size[i - n] and self._fit(last[i - n], t))):
-                return t, n
+        fits = self.fits
+        for n in ends.get(word[i - 3 : i], (2, 1)) if i > 2 else range(i, 0, -1):
+            t = tokens.get(word[i - n : i]) if n <= i else None
+            if t is not None:
+                if n == i:
+                    return t, n
+                if size[i - n]:
+                    fit = fits.get(last[i - n] << 20 | t)
+                    if self._fit(last[i - n], t) if fit is None else fit:
+                        return t, n
         return 0, 0
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
@@ -137,10 +151,10 @@ class Vocabulary:
             shared = min(shared, len(last) - 1)
             del last[shared + 1 :], size[shared + 1 :]
             for i in range(shared + 1, n):
-                t, k = self._last(word, i, last, size, self.inner)
+                t, k = self._last(word, i, last, size, self.inner, self.inner_ends)
                 last.append(t)
                 size.append(k)
-            t, k = self._last(word, n, last, size, self.final)
+            t, k = self._last(word, n, last, size, self.final, self.final_ends)
             if not k:
                 raise ValueError(f"the vocabulary has no tokens for {word[:40]!r}")
             chain = [self.packed[t]]
@@ -168,6 +182,10 @@ class Vocabulary:
         for p, own in cut.items():
             self.young[p] = made[own[0]] if len(own) == 1 else b"".join(map(made.__getitem__, own))
 
+    def forget(self) -> None:
+        """Give up what is remembered, as a worker does that has no task."""
+        self.young, self.old, self.fits = {}, {}, {}
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts: list[list[tuple[bytes, list[str]]]] = []
@@ -193,10 +211,27 @@ class Vocabulary:
             known = self.young if held is None else held | self.young
         return [b"".join(mark + b"".join(map(known.__getitem__, pieces)) for mark, pieces in own) for own in parts]
 
-    def decode(self, ids: Iterable[int]) -> str:
+
+class Names:
+    """Tokens by id, which is all that decoding needs."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        known = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.names: list[str | None] = [known.get(i) for i in range(max(known) + 1)]
+        self.gaps = len(known) < len(self.names)
+
+    def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by spaces, as a vocabulary without a decoder does; unknown ids vanish."""
-        names = self.names
-        return " ".join([names[i] for i in ids if i in names])
+        if self.gaps or (len(ids) and ids.max() >= len(self.names)):
+            ids = np.array([i for i in ids.tolist() if i < len(self.names) and self.names[i] is not None], np.uint32)
+        return " ".join(map(self.names.__getitem__, ids.tolist()))
+
+
+@lru_cache(maxsize=2)
+def names(path: str) -> Names:
+    return Names(path)
 
 
 @lru_cache(maxsize=2)
@@ -209,10 +244,14 @@ def encode(text: Column, path: str) -> Column:
     """Binary column: the ids of a text as little-endian unsigned 32-bit integers."""
 
     @F.arrow_udf(T.BinaryType())
+    @C.tidy
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = vocabulary(path)
         for texts in batches:
-            yield pa.array(own.encode_batch(texts.to_pylist()), pa.binary())
+            out: list[bytes] = []
+            for at in range(0, len(texts), SLICE):
+                out += own.encode_batch(texts.slice(at, SLICE).to_pylist())
+            yield pa.array(out, pa.binary())
 
     return encoded(text)
 
@@ -221,18 +260,34 @@ def decode(ids: Column, path: str) -> Column:
     """String column from a column that encode() made."""
 
     @F.arrow_udf(T.StringType())
+    @C.tidy
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = vocabulary(path)
+        own = names(path)
         for rows in batches:
-            yield pa.array([own.decode(memoryview(b).cast("I")) if b else "" for b in rows.to_pylist()], pa.string())
+            yield pa.array([own.decode(np.frombuffer(b or b"", "<u4")) for b in rows.to_pylist()], pa.string())
 
     return decoded(ids)
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """`docs` with `ids` (binary) and `decoded` (text); columns of these names are replaced."""
-    C.arrow_limits(docs.sparkSession)
-    return docs.withColumn("ids", encode(F.col(text_col), path)).withColumn("decoded", decode(F.col("ids"), path))
+    """`docs` with `ids` (binary) and `decoded` (text); columns of these names are replaced. One UDF does both, so a
+    task needs one Python worker."""
+    C.arrow_limits(docs.sparkSession, SLICE, SLICE_BYTES)
+
+    @F.arrow_udf(T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
+    @C.tidy
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own, known = vocabulary(path), names(path)
+        for texts in batches:
+            ids: list[bytes] = []
+            for at in range(0, len(texts), SLICE):
+                ids += own.encode_batch(texts.slice(at, SLICE).to_pylist())
+            decoded = pa.array((known.decode(np.frombuffer(b, "<u4")) for b in ids), pa.string())
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], names=["ids", "decoded"])
+        own.forget()
+
+    found = docs.select(*(c for c in docs.columns if c not in ("ids", "decoded")), both(F.col(text_col)).alias("__both"))
+    return found.withColumn("ids", F.col("__both.ids")).withColumn("decoded", F.col("__both.decoded")).drop("__both")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

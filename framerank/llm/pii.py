@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -193,7 +194,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> DataFrame:
     C.arrow_limits(spark)
     none = spark.createDataFrame([], "kind int, pattern string, reliability double")
     texts = docs.select(F.col(text_col).alias("text"))
-    edges = texts.mapInArrow(_edges, "kind int, pattern string, value string, seed boolean, n long").groupBy("kind", "pattern", "value", "seed").agg(F.sum("n").alias("n"))
+    edges = texts.mapInArrow(C.tidy(_edges), "kind int, pattern string, value string, seed boolean, n long").groupBy("kind", "pattern", "value", "seed").agg(F.sum("n").alias("n"))
     edges = C.materialise(edges, "pii_edges")
     support = edges.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others")).where((F.col("seeds") >= SUPPORT) & (F.col("others") > 0))
     active = C.materialise(support.select("kind", "pattern"), "pii_active")
@@ -231,6 +232,7 @@ def spans(text: str | None, trusted: dict[str, set[int]]) -> list[tuple[int, int
 
 def _finder(trusted: dict[str, set[int]]):
     @F.arrow_udf(_SPANS)
+    @C.tidy
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([[dict(zip(("kind", "start", "end", "base"), s)) for s in spans(t, trusted)] for t in texts.to_pylist()], _SPANS_ARROW)
@@ -238,43 +240,72 @@ def _finder(trusted: dict[str, set[int]]):
     return find
 
 
+def _models(docs: DataFrame, text_col: str) -> Iterator[dict[str, set[int]]]:
+    """Trusted patterns of all texts with their kinds, in blocks; at least one."""
+    keyed = learn(docs, text_col).groupBy("pattern").agg(F.collect_set("kind").alias("kinds")).select(F.struct("pattern", "kinds").alias("t"))
+    any_block = False
+    for block in _blocks(keyed, "t"):
+        any_block = True
+        yield {r.pattern: set(r.kinds) for r in block}
+    if not any_block:
+        yield {}
+
+
+def _annotated(docs: DataFrame, models: Iterator[dict[str, set[int]]], out: str, text_col: str) -> DataFrame:
+    docs = docs.withColumn(out, _finder(next(models))(F.col(text_col)))
+    for model in models:
+        docs = C.materialise(docs, "pii_block").withColumn(out, F.array_sort(F.array_union(out, _finder(model)(F.col(text_col)))))
+    return docs
+
+
 def annotate(docs: DataFrame, out: str = "pii", text_col: str = "text") -> DataFrame:
     """`docs` with a column `out` of spans (kind index, start, end, base) in code points."""
-    trusted = learn(docs, text_col).select("pattern", "kind")
-    keyed = trusted.groupBy("pattern").agg(F.collect_set("kind").alias("kinds")).select(F.struct("pattern", "kinds").alias("t"))
-    found = None
-    for block in _blocks(keyed, "t"):
-        part = _finder({r.pattern: set(r.kinds) for r in block})
-        if found is None:
-            docs, found = docs.withColumn(out, part(F.col(text_col))), True
-        else:
-            more = C.materialise(docs, "pii_block")
-            docs = more.withColumn(out, F.array_sort(F.array_union(out, part(F.col(text_col)))))
-    return docs if found else docs.withColumn(out, _finder({})(F.col(text_col)))
+    return _annotated(docs, _models(docs, text_col), out, text_col)
+
+
+def redact_text(text: str | None, found: list[tuple[int, int, int]]) -> str | None:
+    """The text with a kind's name in brackets for each span (kind, start, end); overlapping spans become one."""
+    if not text or not found:
+        return text
+    parts, at = [], 0
+    for kind, start, end in sorted(found, key=lambda s: (s[1], -s[2])):
+        if end <= at:
+            continue
+        if start >= at:
+            parts += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = end
+    return "".join(parts) + text[at:]
 
 
 @F.arrow_udf(T.StringType())
 def _redacted(texts: pa.Array, found: pa.Array) -> pa.Array:
-    rows = []
-    for text, own in zip(texts.to_pylist(), found.to_pylist()):
-        if own:
-            parts, at = [], 0
-            for s in sorted(own, key=lambda s: (s["start"], -s["end"])):
-                if s["end"] <= at:
-                    continue
-                if s["start"] >= at:
-                    parts += [text[at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                at = s["end"]
-            text = "".join(parts) + text[at:]
-        rows.append(text)
-    return pa.array(rows, pa.string())
+    return pa.array([redact_text(t, [(s["kind"], s["start"], s["end"]) for s in own or []]) for t, own in zip(texts.to_pylist(), found.to_pylist())], pa.string())
 
 
 def redact(text: Column, found: Column) -> Column:
-    """The text with a kind's name in brackets for each span; overlapping spans become one."""
+    """The redacted text of a text and its spans."""
     return _redacted(text, found)
 
 
+def redacted(docs: DataFrame, out: str, text_col: str = "text") -> DataFrame:
+    """`docs` with the redacted text as column `out`. One block of patterns is found and redacted in one UDF, so a task
+    needs one Python worker."""
+    models = _models(docs, text_col)
+    first, second = next(models), next(models, None)
+    if second is not None:
+        found = _annotated(docs, chain((first, second), models), "__spans", text_col)
+        return found.withColumn(out, redact(F.col(text_col), F.col("__spans"))).drop("__spans")
+    C.arrow_limits(docs.sparkSession)
+
+    @F.arrow_udf(T.StringType())
+    @C.tidy
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([redact_text(t, [s[:3] for s in spans(t, first)]) for t in texts.to_pylist()], pa.string())
+
+    return docs.withColumn(out, clean(F.col(text_col)))
+
+
 def _joined(found: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")

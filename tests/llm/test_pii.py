@@ -65,6 +65,10 @@ def test_blocks_change_nothing(spark, docs_of, monkeypatch):
     whole = sorted(map(tuple, pii.digest(docs).collect()))
     monkeypatch.setattr(pii, "BLOCK", 1)
     assert sorted(map(tuple, pii.digest(docs).collect())) == whole
+    blocks = {r.doc_id: r.t for r in pii.redacted(docs, "t").collect()}
+    monkeypatch.setattr(pii, "BLOCK", 1000)
+    assert {r.doc_id: r.t for r in pii.redacted(docs, "t").collect()} == blocks
+    assert blocks[20] == "So ring me under [PHONE] after lunch again." and blocks[23] is None
 
 
 def test_long_and_empty(spark, docs_of):
