@@ -14,7 +14,8 @@ the input's partitions. No task gets a whole shard, and a group's size is an agg
 partials; the join that hands a group's shard to its rows can be split by AQE.
 
 `rewrite` writes only the shards that a plan changes, and a manifest that points to the old files of
-the others.
+the others. op9 writes the old shards with an id for each row, rewrites by that id and takes its columns
+from the rows it reads back from the new shards.
 
 Cases: a null text has size 1 (no bytes, plus 1) and the CRC-32 of nothing. Repeated rows are dealt
 like any others. A null doc_id doesn't matter. More shards
@@ -23,14 +24,18 @@ than rows leaves shards empty. An empty table gives an empty result. Extra colum
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framerank.llm import _common as C
 
 SHARDS, RANGE_ROWS, PASSES = 8, 250_000, 3
+#: Rows that one task of a rewrite takes, which it writes as a file a shard.
+TASK_ROWS = 50_000
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -134,10 +139,11 @@ def _spread(blocks: DataFrame, shards: int, capacity: list[int] | None) -> DataF
     return now.drop("part")
 
 
-def reshard(rows: DataFrame, shards: int = SHARDS, capacity: list[int] | None = None) -> DataFrame:
+def reshard(rows: DataFrame, shards: int = SHARDS, capacity: list[int] | None = None, row: str | None = None) -> DataFrame:
     """rows: any columns, with old (int), size (long) and group (long; rows of a group stay together, null stands
-    alone). Adds shard (int) and slot (long, from 0 without gaps in each shard)."""
-    kept = C.materialise(rows.withColumn("row", F.monotonically_increasing_id()), "reshard_rows")
+    alone). Adds shard (int) and slot (long, from 0 without gaps in each shard). row: a column that already holds
+    monotonically increasing ids, which is kept."""
+    kept = C.materialise(rows.withColumn("row", F.col(row) if row else F.monotonically_increasing_id()), "reshard_rows")
     groups = kept.where("group is not null").groupBy("group").agg(F.sum("size").alias("size"))
     least = min(capacity) if capacity else (kept.agg(F.sum("size")).first()[0] or 0) / shards
     # Groups too large for that: at most 2 a shard's bytes, whose rows go their own ways.
@@ -148,7 +154,7 @@ def reshard(rows: DataFrame, shards: int = SHARDS, capacity: list[int] | None =
     placed = keyed.join(_spread(blocks, shards, capacity).select("key", "shard"), "key").drop("key")
     # The input's own partitions number the slots.
     sharded = C.materialise(placed.withColumn("part", F.shiftright("row", 33).cast("int")), "reshard_placed")
-    return _running(sharded, "shard", [F.col("row")], F.lit(1).cast("long"), "slot").drop("part", "row")
+    return _running(sharded, "shard", [F.col("row")], F.lit(1).cast("long"), "slot").drop("part", *([] if row == "row" else ["row"]))
 
 
 def _cut(runs: dict[int, list[tuple[int, int]]]):
@@ -167,23 +173,55 @@ def _cut(runs: dict[int, list[tuple[int, int]]]):
 
 
 def rewrite(data: DataFrame, plan: DataFrame, key: str, current: dict[int, str], folder: str, shards: int = SHARDS) -> dict[int, str]:
-    """data: all rows, one per key. plan: key, old, shard. current: the files of each old shard.
-    Writes the shards that gain or lose rows under `folder` and returns the files of each new shard."""
+    """data: all rows. plan: key, old, shard. key: an id that each row has alone. current: the files of each old
+    shard. Writes the shards that gain or lose rows under `folder` and returns the files of each new shard."""
     moved = plan.where("old != shard").select(F.explode(F.array("old", "shard")).alias("s")).distinct().collect()  # at most one row a shard
     dirty = {r.s for r in moved} | {s for s in range(shards) if s not in current}
     if dirty:
         changed = plan.where(F.col("shard").isin(sorted(dirty))).select(key, "shard")
-        data.join(changed, key).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(folder)
+        # Rows meet their plan and are written where they met: they are shuffled once.
+        parts = max(1, -(-plan.count() // TASK_ROWS))
+        met = data.repartition(parts, key).join(changed.repartition(parts, key), key)
+        met.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(folder)
+        # A key that is null or stands for several rows would lose or multiply them.
+        schema = T.StructType([*data.schema.fields, T.StructField("shard", T.IntegerType())])
+        counts = [{r.shard: r["count"] for r in df.groupBy("shard").count().collect()} for df in (changed, data.sparkSession.read.schema(schema).parquet(folder))]
+        if counts[0] != counts[1]:
+            raise ValueError(f"{key} is not an id of the rows: planned {counts[0]}, written {counts[1]}")
     return {s: f"{folder}/shard={s}" if s in dirty else current[s] for s in range(shards)}
 
 
+def layout(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame, dict[int, str]]:
+    """Writes docs as the old shards, plans, and rewrites the shards that change. The rows that were written (row, an
+    id; doc, all columns; old), the plan by row, and the files of each new shard that has rows."""
+    spark, base = docs.sparkSession, C.fresh_path(docs.sparkSession, "reshard_old")
+    group = F.xxhash64(_bytes("text"))
+    old = F.pmod(F.shiftright(group, 20), F.lit(shards)).cast("int")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc"), old.alias("old"))
+    rows.write.option("compression", "zstd").partitionBy("old").parquet(base)
+    data = spark.read.schema(rows.schema).parquet(base)
+    sizes = data.select("row", _size("doc.text").alias("size"), F.xxhash64(_bytes("doc.text")).alias("group"), "old")
+    plan = C.materialise(reshard(sizes, shards, row="row"), "reshard_plan")
+    current = {r.old: f"{base}/old={r.old}" for r in plan.select("old").distinct().collect()}
+    files = rewrite(data.select("row", "doc"), plan, "row", current, C.fresh_path(spark, "reshard_new"), shards)
+    return data, plan, {r.shard: files[r.shard] for r in plan.select("shard").distinct().collect()}
+
+
+def _bytes(text: str):
+    return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+
+
+def _size(text: str):
+    return (F.octet_length(_bytes(text)) + 1).cast("long")
+
+
 def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The columns of op9, by the law `bytes`. The old shards are those of a hash of the text, so equal texts start
-    together, and they stay together."""
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    group = F.xxhash64(text)
-    rows = docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        group.alias("group"), F.pmod(F.shiftright(group, 20), F.lit(shards)).cast("int").alias("old"),
-    )
-    return reshard(rows, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
+    """The columns of op9, by the law `bytes`, of the rows read back from the new shards. The old shards are those of a
+    hash of the text, so equal texts start together, and they stay together."""
+    data, plan, files = layout(docs, shards)
+    kept = data.select("row", "doc")
+    parts = [docs.sparkSession.read.schema(kept.schema).parquet(path).withColumn("shard", F.lit(s)) for s, path in sorted(files.items())]
+    there = functools.reduce(DataFrame.unionByName, parts) if parts else kept.withColumn("shard", F.lit(0)).limit(0)
+    slim = there.select("row", F.col("doc.doc_id").alias("doc_id"), _size("doc.text").alias("size"), F.crc32(_bytes("doc.text")).alias("text_crc32"), "shard")
+    found = slim.join(plan.select("row", "slot", "old"), "row")
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))

@@ -1,6 +1,8 @@
 import zlib
 from itertools import product
 
+import pytest
+
 from framerank.llm import _common as C
 from framerank.llm import sharding
 
@@ -85,3 +87,20 @@ def test_rewrite_leaves_clean_shards(spark):
     assert got[0] == f"{base}/old=0"
     assert {s: spark.read.parquet(p).count() for s, p in got.items()} == {0: 60, 1: 40, 2: 20}
     assert sorted(r.k for p in got.values() for r in spark.read.parquet(p).select("k").collect()) == list(range(120))
+
+
+def test_op9_writes_the_new_shards(spark, docs_of):
+    docs = docs_of([(None if i % 3 == 0 else i % 7, None if i % 11 == 0 else f"text {i % 40} " * (i % 9 + 1)) for i in range(300)])
+    data, plan, files = sharding.layout(docs)
+    held = {s: [r.doc for r in spark.read.parquet(p).collect()] for s, p in files.items()}
+    assert sorted((tuple(d) for own in held.values() for d in own), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    assert {s: len(own) for s, own in held.items()} == {r.shard: r["count"] for r in plan.groupBy("shard").count().collect()}
+    assert sharding.digest(docs).count() == 300
+
+
+def test_rewrite_refuses_a_key_that_is_no_id(spark):
+    for keys in ([None, 1, 2, 3], [1, 1, 2, 3]):
+        rows = spark.createDataFrame([(k, 0, 10, None) for k in keys], "k long, old int, size long, group long")
+        plan = C.materialise(sharding.reshard(rows, 2), "plan")
+        with pytest.raises(ValueError, match="not an id"):
+            sharding.rewrite(rows.select("k"), plan, "k", {}, C.fresh_path(spark, "new"), 2)
