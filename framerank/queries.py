@@ -302,9 +302,18 @@ DIFFER = "list_sum(list_transform(range(1, 64), lambda i: CASE WHEN a.b[i] <> b.
 @query(f"WITH RECURSIVE {HASHES}, {_greedy_sql('SELECT * FROM h', DIFFER, '20')} SELECT g AS label, lead AS vec_id, k AS kept_rank FROM st WHERE lead IS NOT NULL")
 def hamming_dedup(spark, sf_dir):
     """Kept per label until 20 are, if more than 24 bits from every kept one."""
+    return dataset.hamming_dedup(_hashes(spark, sf_dir), "label", ["vec_id"], "vec_id", "bits", 24, 20)
+
+
+def _hashes(spark, sf_dir) -> DataFrame:
     bits = F.expr("aggregate(sequence(0, 62), 0L, (s, i) -> s * 2 + CASE WHEN embedding[i + 1] > embedding[i] THEN 1 ELSE 0 END)")
-    items = _read(spark, sf_dir, "embeddings").select("label", "vec_id", F.array(bits).alias("bits"))
-    return dataset.hamming_dedup(items, "label", ["vec_id"], "vec_id", "bits", 24, 20)
+    return _read(spark, sf_dir, "embeddings").select("label", "vec_id", F.array(bits).alias("bits"))
+
+
+@query()
+def hamming_dedup_production(spark, sf_dir):
+    """The same until the reference's 1437 per label are kept; without SQL, tested against brute force."""
+    return dataset.hamming_dedup(_hashes(spark, sf_dir), "label", ["vec_id"], "vec_id", "bits", 24)
 
 
 # Scoring --------------------------------------------------------------------------------------
