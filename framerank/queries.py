@@ -684,17 +684,21 @@ CHAIN = RankConfig(min_length=3, temporal_window=600, visual_threshold=0.10, top
 FACTORS = {"P1": 1.20, "P2": 1.075, "P3": 1.05, "P4": 1.0}
 
 
-def _log(spark, sf_dir) -> DataFrame:
-    """Frames with metrics and signals from an event's value, and the embedding its id falls on."""
+def _measured(spark, sf_dir) -> DataFrame:
+    """Frames with metrics and signals from an event's value."""
     raw = _read(spark, sf_dir, "events").select("event_id", "value")
-    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), "embedding", F.col("embedding")[0].cast("double").alias("aesthetic_score"))
     share = lambda k: (F.col("event_id") * k % 101) / 101.0
     signals = {
         "luminance": F.col("value"), "sharpness": F.col("value") / 4.0, "uniformity": share(17), "texture": F.lit(1.0), "logo_p": share(29) * 0.55, "closeup": share(31), "num_faces": (F.col("event_id") % 4).cast("int"),
         "face_area": share(7) / 2, "face_quality": share(37), "face_det_score": share(41), "face_visibility": share(43), "emotion_intensity": share(47), "emotion_label": F.lit("Happiness"), "pose_score": share(53), "pose_label": F.lit("jump"), "iqa_norm": share(59),
     }
-    frames = _frames(spark, sf_dir).join(raw, "event_id").withColumns(signals).withColumn("v", F.col("event_id") % 500)
-    return frames.join(vectors, "v").withColumn("video_id", F.col("clip_id"))
+    return _frames(spark, sf_dir).join(raw, "event_id").withColumns(signals).withColumn("video_id", F.col("clip_id"))
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    """Measured frames and the embedding an event's id falls on."""
+    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), "embedding", F.col("embedding")[0].cast("double").alias("aesthetic_score"))
+    return _measured(spark, sf_dir).withColumn("v", F.col("event_id") % 500).join(vectors, "v")
 
 
 @query(f"""WITH RECURSIVE {FRAMES}, {RUNS},
@@ -725,6 +729,6 @@ def ranked_keyframes(spark, sf_dir):
 UNION ALL SELECT 'cascade:' || r, count(*) FROM (SELECT CASE WHEN value < coalesce(l, 5e0) THEN 'luminance' WHEN value / 4e0 < coalesce(s, 1e0) THEN 'sharpness' WHEN (event_id * 17 % 101) / 101e0 > coalesce(u, 0.98e0) THEN 'uniformity' ELSE 'kept' END AS r
   FROM frames JOIN events USING (event_id) LEFT JOIN (VALUES ('P1', 5e0, 1e0, 0.98e0), ('P2', 10e0, 1e0, 0.97e0), ('P3', 5e0, 2e0, 0.98e0), ('P4', 5e0, 1e0, 0.98e0)) lim(pred_label, l, s, u) USING (pred_label)) GROUP BY r""")
 def stage_analytics(spark, sf_dir):
-    log = _log(spark, sf_dir)
+    log = _measured(spark, sf_dir)
     cascaded = filters.cascade(log, CHAIN.thresholds, "pred_label", "P1")
     return ranking.analytics(log, CHAIN, cascaded)
