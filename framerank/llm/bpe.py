@@ -4,14 +4,15 @@ For every prefix of a word one token is the last token of the prefix's encoding:
 that can follow the encoding of what stands before it. So an encoding is the chain of last tokens,
 and the states of a prefix hold for all words that share it. The distinct new words of a batch are
 walked in sorted order, which is the depth-first order of their trie: going to the next word drops
-the states below the common prefix and computes only the rest.
+the states below the common prefix and computes only the rest. An automaton of the tokens tells at each
+prefix which tokens end there.
 
 Two tokens can stand side by side if no merge across their border would have come first; that is
 looked up in the merge trees of both tokens.
 
 The text is treated as the vocabulary file says: added tokens are cut out, the rest is NFC, lower
 case, split at white space and into letters, single digits and other runs, and written in byte
-symbols. Each worker keeps the encodings of recent pieces in two generations of bounded size.
+symbols. Each worker keeps the encodings of recent pieces and words in two generations of bounded size.
 
 Cases: null and empty texts have no tokens and decode to an empty text. Rows are handled one by one;
 repeated rows, null ids and extra columns don't matter. Words of any length are walked iteratively.
@@ -36,9 +37,10 @@ from framerank.llm import _common as C
 
 END = "</w>"
 #: Pieces whose encodings one generation of a worker's memory holds, and token pairs it remembers.
-KEPT, PAIRS = 80_000, 200_000
-#: Texts whose pieces a worker holds at once, and bytes of text in a batch: ids and tokens take about four times as much.
-SLICE, SLICE_BYTES = 400, 3 << 20
+KEPT, PAIRS = 150_000, 300_000
+#: Texts whose pieces a worker holds at once, and bytes of text in a batch: pieces, ids and tokens take about fifteen
+#: times as much. New words of a slice are walked together, so a larger slice shares more prefixes.
+SLICE, SLICE_BYTES = 1500, 4 << 20
 _NEVER = 1 << 40
 #: White space as the vocabulary's own pattern knows it.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -74,11 +76,13 @@ class Vocabulary:
         for t in sorted(ids.values(), key=lambda t: split[t][2] if t in split else -1):
             sound[t] = t not in split or (sound[split[t][0]] and sound[split[t][1]] and not self._crossed(split[t][0], split[t][1], split[t][2]))
         self.inner = {t: i for t, i in ids.items() if sound[i] and not t.endswith(END)}
-        self.final = {t[: -len(END)]: i for t, i in ids.items() if sound[i] and t.endswith(END)}
-        self.inner_ends, self.final_ends = self._ends(self.inner), self._ends(self.final)
+        raw = {s: b for b, s in enumerate(byte_symbols())}
+        as_bytes = {t: bytes(map(raw.__getitem__, t.removesuffix(END))) for t, i in ids.items() if sound[i] and raw.keys() >= set(t.removesuffix(END))}
+        self.final = {w: ids[t] for t, w in as_bytes.items() if t.endswith(END)}
+        self.final_ends = self._ends(self.final)
+        self._grow({w: ids[t] for t, w in as_bytes.items() if not t.endswith(END)})
         self.fits: dict[int, bool] = {}
         self.packed = {i: struct.pack("<I", i) for i in [*ids.values(), *self.added.values()]}
-        self.symbols = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cut_words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _SPACE + r"\p{L}\p{N}]+")
         self.cut_space = regex.compile(f"[^{_SPACE}]+")
@@ -114,33 +118,67 @@ class Vocabulary:
         return found
 
     @staticmethod
-    def _ends(tokens: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Lengths, longest first, of the tokens that end in the same three symbols, and 2 and 1."""
-        found: dict[str, set[int]] = {}
+    def _ends(tokens: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
+        """Lengths, longest first, of the tokens that end in the same three bytes, and 2 and 1."""
+        found: dict[bytes, set[int]] = {}
         for t in tokens:
             if len(t) > 2:
                 found.setdefault(t[-3:], set()).add(len(t))
         return {end: (*sorted(sizes, reverse=True), 2, 1) for end, sizes in found.items()}
 
-    def _last(self, word: str, i: int, last: list[int], size: list[int], tokens: dict[str, int], ends: dict[str, tuple[int, ...]]) -> tuple[int, int]:
-        """The last token of the encoding of word[:i], and its length."""
-        fits = self.fits
-        for n in ends.get(word[i - 3 : i], (2, 1)) if i > 2 else range(i, 0, -1):
-            t = tokens.get(word[i - n : i]) if n <= i else None
+    def _grow(self, tokens: dict[bytes, int]) -> None:
+        """The automaton of the tokens within a word: `step` (state and byte to state), `back` (a state's longest proper
+        suffix that is a state) and `ends` (tokens that end in a state, longest first, with their lengths)."""
+        self.step: dict[int, int] = {}
+        self.back, self.ends = [0], [()]
+        level: dict[bytes, int] = {b"": 0}
+        for n in range(1, max(map(len, tokens), default=0) + 1):
+            below: dict[bytes, int] = {}
+            for token in tokens:
+                if len(token) < n or (prefix := token[:n]) in below:
+                    continue
+                below[prefix] = state = len(self.back)
+                parent = level[prefix[:-1]]
+                self.step[parent << 8 | prefix[-1]] = state
+                to = 0
+                if parent:
+                    to = self._next(self.back[parent], prefix[-1])
+                self.back.append(to)
+                own = tokens.get(prefix)
+                self.ends.append(self.ends[to] if own is None else ((n, own), *self.ends[to]))
+            level = below
+            tokens = {t: i for t, i in tokens.items() if len(t) >= n}
+
+    def _next(self, state: int, byte: int) -> int:
+        found = self.step.get(state << 8 | byte)
+        while found is None:
+            if not state:
+                return 0
+            state = self.back[state]
+            found = self.step.get(state << 8 | byte)
+        return found
+
+    def _final(self, word: bytes, last: list[int], size: list[int]) -> tuple[int, int]:
+        """The last token of a whole word's encoding, and its length."""
+        i = len(word)
+        for n in self.final_ends.get(word[i - 3 :], (2, 1)) if i > 2 else range(i, 0, -1):
+            t = self.final.get(word[i - n :]) if n <= i else None
             if t is not None:
                 if n == i:
                     return t, n
                 if size[i - n]:
-                    fit = fits.get(last[i - n] << 20 | t)
+                    fit = self.fits.get(last[i - n] << 20 | t)
                     if self._fit(last[i - n], t) if fit is None else fit:
                         return t, n
         return 0, 0
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Encodings of distinct words in byte symbols, as little-endian 32-bit ids."""
-        out: dict[str, bytes] = {}
-        last, size = [0], [1]
-        before = ""
+    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Encodings of distinct words in UTF-8, as little-endian 32-bit ids. `last` and `size` hold for every prefix of
+        the present word the last token of its encoding and that token's length (0: it has none), `at` the automaton's state."""
+        out: dict[bytes, bytes] = {}
+        last, size, at = [0], [1], [0]
+        before = b""
+        step, back, ends, fits, packed = self.step, self.back, self.ends, self.fits, self.packed
         for word in sorted(words):
             n = len(word)
             shared = 0
@@ -149,21 +187,47 @@ class Vocabulary:
                     break
                 shared += 1
             shared = min(shared, len(last) - 1)
-            del last[shared + 1 :], size[shared + 1 :]
-            for i in range(shared + 1, n):
-                t, k = self._last(word, i, last, size, self.inner, self.inner_ends)
-                last.append(t)
-                size.append(k)
-            t, k = self._last(word, n, last, size, self.final, self.final_ends)
+            del last[shared + 1 :], size[shared + 1 :], at[shared + 1 :]
+            state = at[shared]
+            for i in range(shared, n - 1):
+                byte = word[i]
+                to = step.get(state << 8 | byte)
+                while to is None:
+                    if not state:
+                        to = 0
+                        break
+                    state = back[state]
+                    to = step.get(state << 8 | byte)
+                state = to
+                at.append(state)
+                for k, t in ends[state]:
+                    j = i + 1 - k
+                    if j:
+                        if not size[j]:
+                            continue
+                        pair = last[j] << 20 | t
+                        fit = fits.get(pair)
+                        if not (self._fit(last[j], t) if fit is None else fit):
+                            continue
+                    last.append(t)
+                    size.append(k)
+                    break
+                else:
+                    last.append(0)
+                    size.append(0)
+            t, k = self._final(word, last, size)
             if not k:
                 raise ValueError(f"the vocabulary has no tokens for {word[:40]!r}")
-            chain = [self.packed[t]]
-            at = n - k
-            while at:
-                chain.append(self.packed[last[at]])
-                at -= size[at]
-            chain.reverse()
-            out[word] = b"".join(chain)
+            j = n - k
+            if j:
+                chain = [packed[t]]
+                while j:
+                    chain.append(packed[last[j]])
+                    j -= size[j]
+                chain.reverse()
+                out[word] = b"".join(chain)
+            else:
+                out[word] = packed[t]
             before = word
         return out
 
@@ -174,17 +238,16 @@ class Vocabulary:
         text = text.replace("Σ", "σ").lower()
         return self.cut_space.findall(text) if self.odd_space.search(text) else text.split()
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.young) > KEPT:
-            self.old, self.young = self.young, {}
-        cut = {p: [w.encode().decode("latin-1").translate(self.symbols) for w in self.cut_words.findall(p)] for p in missing}
-        made = self.encode_words({w for own in cut.values() for w in own})
+    def _learn(self, missing: set[str], known: dict[str, bytes]) -> None:
+        """Add the encodings of pieces to `known`, and those of the words that they consist of."""
+        cut = {p: self.cut_words.findall(p) for p in missing if not p.isalpha()}
+        words = {p for p in missing if p not in cut}
+        words.update(w for own in cut.values() for w in own if w not in known)
+        raw = {w.encode(): w for w in words}
+        for w, ids in self.encode_words(raw).items():
+            known[raw[w]] = ids
         for p, own in cut.items():
-            self.young[p] = made[own[0]] if len(own) == 1 else b"".join(map(made.__getitem__, own))
-
-    def forget(self) -> None:
-        """Give up what is remembered, as a worker does that has no task."""
-        self.young, self.old, self.fits = {}, {}, {}
+            known[p] = known[own[0]] if len(own) == 1 else b"".join(map(known.__getitem__, own))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -200,15 +263,15 @@ class Vocabulary:
                     own.append((b"", pieces))
                     missing.update(pieces)
             parts.append(own)
-        known = self.young
+        known, old = self.young, self.old
         new = {p for p in missing if p not in known}
-        for p in [p for p in new if p in self.old]:
-            known[p] = self.old[p]
+        for p in [p for p in new if p in old]:
+            known[p] = old[p]
             new.discard(p)
         if new:
-            held = {p: known[p] for p in missing if p in known} if len(known) > KEPT else None
-            self._learn(new)
-            known = self.young if held is None else held | self.young
+            self._learn(new, known)
+        if len(known) > KEPT:
+            self.old, self.young = known, {}
         return [b"".join(mark + b"".join(map(known.__getitem__, pieces)) for mark, pieces in own) for own in parts]
 
 
@@ -284,7 +347,6 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 ids += own.encode_batch(texts.slice(at, SLICE).to_pylist())
             decoded = pa.array((known.decode(np.frombuffer(b, "<u4")) for b in ids), pa.string())
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], names=["ids", "decoded"])
-        own.forget()
 
     found = docs.select(*(c for c in docs.columns if c not in ("ids", "decoded")), both(F.col(text_col)).alias("__both"))
     return found.withColumn("ids", F.col("__both.ids")).withColumn("decoded", F.col("__both.decoded")).drop("__both")
