@@ -78,3 +78,86 @@ def test_long_and_empty(spark, docs_of):
     docs = docs_of([(None, "a@b.co", 1), (1, "a@b.co", 1), (1, "a@b.co", 1)], ", spans int")
     assert [r.spans for r in pii.digest(docs).collect()] == ["email:0:6"] * 3
     assert pii.digest(docs.limit(0)).count() == 0
+
+
+def generations():
+    """Numbers of a second shape stand where phones do, and again in words of their own; there stands what no seed's words lead to."""
+    rows = [(i, f"Please ring me under +1 (555) 010-1{i:03d} after lunch, thanks {i}.") for i in range(12)]
+    rows += [(20 + i, f"So ring me under 030 12345{i:02d} after lunch again.") for i in range(4)]
+    rows += [(40 + i, f"Her desk lists number 030 12345{i:02d} inside the hall") for i in range(4)]
+    return [*rows, (60, "His desk lists number QX-77123b inside the hall"), (61, "the model QX-77123c was sold")]
+
+
+def test_a_second_generation_reaches_further(spark, docs_of, monkeypatch):
+    rows = generations()
+    text = dict(rows)
+    found = {r.doc_id: r.spans for r in pii.digest(docs_of(rows)).collect()}
+    a = text[60].index("QX")
+    assert found[60] == f"phone:{a}:{a + len('QX-77123b')}" and found[61] == ""
+    assert all(found[i] for i in (*range(12), *range(20, 24), *range(40, 44)))
+    monkeypatch.setattr(pii, "GENERATIONS", 1)
+    once = {r.doc_id: r.spans for r in pii.digest(docs_of(rows)).collect()}
+    assert once[60] == "" and all(once[i] for i in range(20, 24)) and not any(once[i] for i in range(40, 44))
+
+
+def test_planted_rate(spark, docs_of):
+    """Of identifiers of unseen shapes planted in three phrases that also introduce seeds, all are found; numbers elsewhere are left alone."""
+    rng = random.Random(5)
+    phrases = ["write to us at", "the server answers under", "my direct line is"]
+    seeds = [lambda i: f"bob{i}@mail.example.com", lambda i: f"10.0.{i % 250}.{i % 199}", lambda i: f"+1 (555) 01{i:02d}-{1000 + i}"]
+    rows, planted, plain = [], [], []
+    for i in range(240):
+        p = i % 3
+        filler = [" ".join("".join(rng.choices("abdefgilmnorst", k=rng.randint(2, 8))) for _ in range(6)) for _ in range(2)]
+        if i % 12 < 9:
+            rows.append((i, f"{filler[0]} {phrases[p]} {seeds[p](i)} {filler[1]}"))
+        elif i % 24 < 18:
+            rows.append((i, f"{filler[0]} {phrases[p]} ext{rng.randint(10000, 99999)}x {filler[1]}"))
+            planted.append(i)
+        else:
+            rows.append((i, f"{filler[0]} about {rng.randint(1000, 9999)} {filler[1]} {rng.randint(10**6, 10**7)}"))
+            plain.append(i)
+    found = {r.doc_id: r.spans for r in pii.digest(docs_of(rows)).collect()}
+    assert planted and plain
+    assert sum(bool(found[i]) for i in planted) == len(planted)
+    assert not any(found[i] for i in plain)
+
+
+def occurrences(texts, words, side):
+    n = 0
+    for t in texts:
+        own = t.lower().split()
+        n += sum(own[i : i + 2] == words and (i + 2 < len(own) if side == 0 else i > 0) for i in range(len(own) - 1))
+    return n
+
+
+def test_counts_match_brute_force(spark, small, monkeypatch):
+    """Totals of a few word pairs, also through a filter so small that it lets much through."""
+    from xxhash import xxh3_64_intdigest
+
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r.text]
+    pairs = sorted({(w[i], w[i + 1]) for t in texts[:40] for w in [t.lower().split()] for i in range(0, len(w) - 1, 17)})[:60]
+    signed = lambda w: (xxh3_64_intdigest(w) + (1 << 63)) % (1 << 64) - (1 << 63)
+    asked = {(side, signed(a), signed(b)): [a, b] for a, b in pairs for side in (0, 1)}
+    rows = spark.createDataFrame([*asked], "side int, h1 long, h2 long")
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("text")
+    for most in (1 << 27, 1 << 6):
+        monkeypatch.setattr(pii, "FILTER_BITS", most)
+        counted = docs.mapInArrow(pii._occurrences(pii._pair_filter(rows)), "side int, h1 long, h2 long, n long").groupBy("side", "h1", "h2").sum("n").collect()
+        got = {tuple(r)[:3]: r[3] for r in counted}
+        assert {k: got.get(k, 0) for k in asked} == {k: occurrences(texts, w, k[0]) for k, w in asked.items()}
+
+
+def test_nothing_is_cut_short():
+    local = "a" * 100
+    text = f"write {local} at example dot com"
+    assert pii.candidates(text, []) == [(6, len(text))]
+    word = "w" * 500
+    (a, b, found), = pii.contexts(f"{word} {word} 1234567 x y", [(1002, 1009)])
+    from xxhash import xxh3_64_intdigest as h
+
+    assert found == [(0, h(word), h(word)), (1, h("x"), h("y"))]
+    for text in ("1" * 300_000, "a1," * 100_000, "a" * 300_000 + "1", "a@b.co," * 50_000, "x1-" * 100_000 + " y", "1234 " * 60_000):
+        own = pii.base(text)
+        spans = sorted({s[1:] for s in own} | set(pii.candidates(text, own)))
+        assert len(list(pii.contexts(text, spans))) == len(spans)
