@@ -43,8 +43,8 @@ from framerank.llm import _common as C
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, TRUST, ROUNDS, GENERATIONS, BLOCK = 3, 0.8, 3, 3, 200_000
-#: Bits of the filter a pattern, and of the whole filter at most (16 MB).
-BITS_EACH, FILTER_BITS = 16, 1 << 27
+#: Bits of the filter for each pattern, of the whole filter at least (128 KB) and at most (16 MB).
+BITS_EACH, LEAST_BITS, FILTER_BITS = 32, 1 << 20, 1 << 27
 #: Characters of a word that make it a candidate, if one is a digit.
 LEAST_WORD = 4
 NO_KIND = -1
@@ -257,7 +257,7 @@ def _pair_filter(patterns: DataFrame) -> np.ndarray:
     """Bloom filter of the word pairs of `patterns` (written already), as bytes with a bit each. At most FILTER_BITS / 64
     rows reach the driver."""
     n = patterns.count()
-    bits = min(FILTER_BITS, max(1 << 10, 1 << (n * BITS_EACH - 1).bit_length()))
+    bits = min(FILTER_BITS, max(LEAST_BITS, 1 << (n * BITS_EACH - 1).bit_length()))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
