@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only where the session names no checkpoint folder and driver and executors are one process, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 #: An Arrow batch ends at whichever of these comes first, so one batch of long texts stays small.
@@ -24,7 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
-    return FALLBACK_DIR
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return FALLBACK_DIR
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    own = f"__{name}"
+    while own in taken:
+        own = f"_{own}"
+    return own
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

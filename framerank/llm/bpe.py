@@ -37,10 +37,10 @@ from framerank.llm import _common as C
 
 END = "</w>"
 #: Pieces whose encodings one generation of a worker's memory holds, and token pairs it remembers.
-KEPT, PAIRS = 150_000, 300_000
+KEPT, PAIRS = 60_000, 150_000
 #: Texts whose pieces a worker holds at once, and bytes of text in a batch: pieces, ids and tokens take about fifteen
 #: times as much. New words of a slice are walked together, so a larger slice shares more prefixes.
-SLICE, SLICE_BYTES = 1500, 4 << 20
+SLICE, SLICE_BYTES = 700, 2 << 20
 _NEVER = 1 << 40
 #: White space as the vocabulary's own pattern knows it.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -249,6 +249,10 @@ class Vocabulary:
         for p, own in cut.items():
             known[p] = known[own[0]] if len(own) == 1 else b"".join(map(known.__getitem__, own))
 
+    def forget(self) -> None:
+        """Give up what is remembered of the texts, as a worker does that has no task."""
+        self.young, self.old = {}, {}
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         parts: list[list[tuple[bytes, list[str]]]] = []
@@ -347,9 +351,11 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 ids += own.encode_batch(texts.slice(at, SLICE).to_pylist())
             decoded = pa.array((known.decode(np.frombuffer(b, "<u4")) for b in ids), pa.string())
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], names=["ids", "decoded"])
+        own.forget()
 
-    found = docs.select(*(c for c in docs.columns if c not in ("ids", "decoded")), both(F.col(text_col)).alias("__both"))
-    return found.withColumn("ids", F.col("__both.ids")).withColumn("decoded", F.col("__both.decoded")).drop("__both")
+    own = C.free(docs, "both")
+    found = docs.select(*(c for c in docs.columns if c not in ("ids", "decoded")), both(F.col(text_col)).alias(own))
+    return found.withColumn("ids", F.col(own)["ids"]).withColumn("decoded", F.col(own)["decoded"]).drop(own)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:

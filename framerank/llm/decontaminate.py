@@ -144,7 +144,8 @@ def _scanner(shipped):
         for texts in batches:
             yield pa.array([scan_text(t, automaton) for t in texts.to_pylist()], _ARROW)
 
-    return scanned
+    # Else a filter on the result is pushed below it with a scan of its own, in a second worker.
+    return scanned.asNondeterministic()
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, out: str = "hits", *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -158,19 +159,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, out: str = "hits", *, text_col:
         return docs.withColumn(out, _scanner(spark.sparkContext.broadcast(first))(F.col(text_col)))
     # Several blocks: rows get a number that stays, each block writes only the rows that it hits. The
     # driver holds two blocks at a time.
-    numbered = C.materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate_rows")
+    row, ids, runs = (C.free(docs, n) for n in ("row", "ids", "runs"))
+    numbered = C.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate_rows")
     hit = None
     for block in chain((first, second), parts):
         shipped = spark.sparkContext.broadcast(block)
-        part = C.materialise(numbered.select("__row", _scanner(shipped)(F.col(text_col)).alias("__hit")).where("__hit.n_hit > 0"), "decontaminate_block")
+        part = C.materialise(numbered.select(row, _scanner(shipped)(F.col(text_col)).alias("__hit")).where("__hit.n_hit > 0"), "decontaminate_block")
         shipped.destroy()
         hit = part if hit is None else hit.unionByName(part)
-    merged = hit.groupBy("__row").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__hit.item_ids")))).alias("__ids"),
-        F.array_sort(F.flatten(F.collect_list("__hit.words_hit"))).alias("__runs"),
+    merged = hit.groupBy(row).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__hit.item_ids")))).alias(ids),
+        F.array_sort(F.flatten(F.collect_list("__hit.words_hit"))).alias(runs),
     )
-    joined = numbered.join(merged, "__row", "left")
-    return joined.withColumn(out, _merge(F.col(text_col), F.col("__runs"), F.col("__ids"))).select(*(c for c in docs.columns if c != out), out)
+    joined = numbered.join(merged, row, "left")
+    return joined.withColumn(out, _merge(F.col(text_col), F.col(runs), F.col(ids))).select(*(c for c in docs.columns if c != out), out)
 
 
 @F.arrow_udf(RESULT)

@@ -431,8 +431,9 @@ def redacted(docs: DataFrame, out: str, text_col: str = "text") -> DataFrame:
     models = _models(docs, text_col)
     first, second = next(models), next(models, None)
     if second is not None:
-        found = _annotated(docs, chain((first, second), models), "__spans", text_col)
-        return found.withColumn(out, redact(F.col(text_col), F.col("__spans"))).drop("__spans")
+        own = C.free(docs, "spans")
+        found = _annotated(docs, chain((first, second), models), own, text_col)
+        return found.withColumn(out, redact(F.col(text_col), F.col(own))).drop(own)
     C.arrow_limits(docs.sparkSession)
 
     @F.arrow_udf(T.StringType())

@@ -60,7 +60,14 @@ def fingerprint(text: str | None) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(own) - SHINGLE + 1)
     first, last = starts[:n].tolist(), ends[-n:].tolist()
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last)), np.uint64, n)
+    return majority(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes; zero for none."""
+    n = len(hashes)
+    if not n:
+        return 0
     spread = _SPREAD[hashes.astype(">u8").view(np.uint8).reshape(n, 8)]
     sums = np.add.reduceat(spread, np.arange(0, n, 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big")
@@ -135,23 +142,39 @@ def trie_links(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
             left.append(a)
             right.append(b)
     label = settle(len(x), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(x))
+    for i, j in near_pairs(x, starts, ends, label):
+        left.append(i)
+        right.append(j)
+    if not left:
+        return np.arange(len(x))
+    return settle(len(x), np.concatenate(left), np.concatenate(right))
+
+
+def near_pairs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, label: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the budget from the same range, by walking pairs of trie nodes; ranges as in trie_links(). Node
+    pairs of one label are left out."""
     change = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
     ones: dict[int, np.ndarray] = {}
     stack = [(0, starts, ends, starts, ends, np.zeros(len(starts), np.int8))]
     while stack:
         d, alo, ahi, blo, bhi, off = stack.pop()
-        keep = (ahi > alo) & (bhi > blo) & (off <= BUDGET) & ~((alo == blo) & (ahi - alo < 2))
+        keep = (ahi > alo) & (bhi > blo) & (off <= budget) & ~((alo == blo) & (ahi - alo < 2))
         same = keep.copy()
         k = np.flatnonzero(keep)
         same[k] = (change[ahi[k] - 1] == change[alo[k]]) & (change[bhi[k] - 1] == change[blo[k]]) & (label[alo[k]] == label[blo[k]])
         keep &= ~same
-        small = keep & ((ahi - alo) * (bhi - blo) <= 16) | keep & (d == 64)
+        small = keep & ((ahi - alo) * (bhi - blo) <= 16)
         if small.any():
             i, j = _pairs(alo[small], ahi[small], blo[small], bhi[small])
-            near = (i != j) & (np.bitwise_count(x[i] ^ x[j]) <= BUDGET)
-            left.append(i[near])
-            right.append(j[near])
+            near = (i != j) & (np.bitwise_count(x[i] ^ x[j]) <= budget)
+            yield i[near], j[near]
         keep &= ~small
+        if d == 64:
+            # Equal fingerprints: a pair of ranges at a time.
+            for a, b, c, e in zip(alo[keep], ahi[keep], blo[keep], bhi[keep]):
+                for i in range(a, b):
+                    yield np.full(e - c, i), np.arange(c, e)
+            continue
         if not keep.any():
             continue
         alo, ahi, blo, bhi, off = alo[keep], ahi[keep], blo[keep], bhi[keep], off[keep]
@@ -170,9 +193,6 @@ def trie_links(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
             np.concatenate((blo, bmid, bmid, blo[cross])), np.concatenate((bmid, bhi, bhi, bmid[cross])),
             np.concatenate((off, off, off + 1, off[cross] + 1)).astype(np.int8),
         ))
-    if not left:
-        return np.arange(len(x))
-    return settle(len(x), np.concatenate(left), np.concatenate(right))
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

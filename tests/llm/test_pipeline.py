@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parents[2]))
 import corpus_pipeline as P
 import test_decontaminate
 import test_pii
-import test_simhash
+import test_similar
 
 from framerank.llm import _common as C
 from framerank.llm import queries
@@ -20,7 +20,7 @@ from framerank.llm import queries
 
 def brute(docs, items):
     rows = sorted((r for r in docs if r.text and any(c.isalpha() for c in r.text)), key=lambda r: r.doc_id)
-    groups = test_simhash.brute_groups([test_simhash.brute_fingerprint(r.text) for r in rows])
+    groups = test_similar.brute_groups([r.text for r in rows])  # five words, similarity 0.8
     rows = [r for k, r in enumerate(rows) if groups[k] == k]
     public = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     public.no_padding()
@@ -73,6 +73,20 @@ def test_stages_on_edges(spark, small, docs_of):
         assert stage(spark, none, small).count() == 0
 
 
+def test_clashing_names_and_repeated_ids(spark, small, docs_of):
+    names = ["__lang", "__hits", "__redacted", "__text", "__row", "row", "component_id"]
+    words = [" ".join(f"{a}{k}" for k in range(60)) for a in ("red", "blue", "green")]
+    near = words[0].replace("red7 ", "rouge ")
+    texts = [(5, words[0]), (5, words[1]), (5, words[2]), (2, near), (None, words[1]), (None, words[2] + " tail"), (None, "alone and apart in every word of it")]
+    docs = docs_of([(i, t, *range(len(names))) for i, t in texts], "".join(f", {n} int" for n in names))
+    for _, stage in P.STAGES[:-1]:
+        docs = C.materialise(stage(spark, docs, small), "stage")
+        assert docs.columns[5:] == names
+    rows = docs.collect()
+    assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted([(2, near), (5, words[1]), (5, words[2]), (None, texts[-1][1])], key=str)
+    assert all([r[n] for n in names] == list(range(len(names))) for r in rows)
+
+
 def test_every_query_is_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
     assert len(P.STAGES) == 5
