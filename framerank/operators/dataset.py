@@ -52,8 +52,9 @@ def sample_frames(intervals: DataFrame, fps: str, duration: str, factor: Column
 
 
 def hash_order(key: Column | str, seed: int = 42) -> Column:
-    """A repeatable shuffle: rows in the order of a hash of their key."""
-    return F.xxhash64(F.lit(seed), F.col(key) if isinstance(key, str) else key)
+    """A repeatable shuffle: rows in the order of a hash of seed and key, in place of a seeded permutation, which would
+    need all keys in one place. Any engine with MD5 gives the same order."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), (F.col(key) if isinstance(key, str) else key).cast("string")))
 
 
 #: Candidates of a group that one round of dedup looks at.

@@ -299,10 +299,10 @@ HASHES = "h AS MATERIALIZED (SELECT label AS g, vec_id AS r, list_transform(rang
 DIFFER = "list_sum(list_transform(range(1, 64), lambda i: CASE WHEN a.b[i] <> b.b[i] THEN 1 ELSE 0 END)) <= 24"
 
 
-@query(f"WITH RECURSIVE {HASHES}, {_greedy_sql('SELECT * FROM h', DIFFER, '20')} SELECT g AS label, lead AS vec_id, k AS kept_rank FROM st WHERE lead IS NOT NULL")
+@query(f"WITH RECURSIVE {HASHES}, {_greedy_sql('SELECT * FROM h', DIFFER, '1437')} SELECT g AS label, lead AS vec_id, k AS kept_rank FROM st WHERE lead IS NOT NULL")
 def hamming_dedup(spark, sf_dir):
-    """Kept per label until 20 are, if more than 24 bits from every kept one."""
-    return dataset.hamming_dedup(_hashes(spark, sf_dir), "label", ["vec_id"], "vec_id", "bits", 24, 20)
+    """Kept per label until 1437 are, if more than 24 bits from every kept one."""
+    return dataset.hamming_dedup(_hashes(spark, sf_dir), "label", ["vec_id"], "vec_id", "bits", 24)
 
 
 def _hashes(spark, sf_dir) -> DataFrame:
@@ -310,12 +310,6 @@ def _hashes(spark, sf_dir) -> DataFrame:
     return _read(spark, sf_dir, "embeddings").select("label", "vec_id", F.array(bits).alias("bits"))
 
 
-@query()
-def hamming_dedup_production(spark, sf_dir):
-    """The same until the reference's 1437 per label are kept; without SQL, tested against brute force."""
-    return dataset.hamming_dedup(_hashes(spark, sf_dir), "label", ["vec_id"], "vec_id", "bits", 24)
-
-
 # Scoring --------------------------------------------------------------------------------------
 
 
@@ -527,7 +521,8 @@ def hash_split(spark, sf_dir):
     return dataset.hash_split(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
 
 
-@query()
+@query("""WITH g AS (SELECT DISTINCT o_custkey FROM orders), r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || o_custkey), o_custkey) AS k, count(*) OVER () AS n FROM g)
+SELECT o_orderkey, o_custkey, k <= ceil(0.15e0 * n) AS is_test FROM orders JOIN r USING (o_custkey)""")
 def group_split(spark, sf_dir):
     return dataset.group_split(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
 
@@ -732,3 +727,7 @@ def stage_analytics(spark, sf_dir):
     log = _measured(spark, sf_dir)
     cascaded = filters.cascade(log, CHAIN.thresholds, "pred_label", "P1")
     return ranking.analytics(log, CHAIN, cascaded)
+
+
+# More of them, registered as they are imported: they build on what stands above.
+from framerank import more_queries  # noqa: E402, F401

@@ -37,3 +37,19 @@ def ship(spark: SparkSession) -> None:
             out.write(p, p.relative_to(package.parent))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new name below the folder that driver and executors share (spark.checkpoint.dir); a local one only where they are one process."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = own.get() if own.isDefined() else None
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "/tmp/checkpoints"
+    return f"{folder.rstrip('/')}/framerank/{uuid.uuid4().hex}"
