@@ -12,7 +12,10 @@ words on, marked words being terms that stand out in toxic rows.
 Terms are learned from a sample of at most `SAMPLE` labelled rows, the least by a hash of doc_id, the
 same bound for any corpus. A term must occur in toxic rows in at least `CONTEXTS` different
 surroundings (the words next to it): near copies of one text repeat its words in the same ones, and
-so can't make a term. The sample's features, a few numbers a row, are fitted on the driver.
+so can't make a term. The `TERMS` terms of the sample with the largest z-scores are the model's features: a bound of the
+model like the sample's, while of what is scored every word of every text is looked up. The sample's features, a few
+numbers a row, are fitted on the driver. A severity is therefore how many of the learned words a text holds, weighted:
+there are no graded labels to learn anything finer from.
 
 Cases: null and empty texts have no terms. Labels that are null or neither 0 nor 1 are not learned,
 nor are those of rows held out. Without rows of both classes there are no terms and every text is

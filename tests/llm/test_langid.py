@@ -66,3 +66,10 @@ def test_edges(spark, docs_of):
     assert langid.digest(docs.limit(0)).count() == 0
     nothing = docs.withColumn("lang", langid.F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.digest(nothing).collect()} == {"und"}
+
+
+def test_long_texts_and_tied_distances(spark, docs_of):
+    """Two languages with the same texts are equally near: the first by name wins."""
+    docs = spark.createDataFrame([(0, "abc " * 50, "xx"), (1, "abc " * 50, "ww"), (4, "abc " * 300_000, None), (5, "z" * 400_000, None)], "doc_id long, text string, lang string")
+    got = {r.lang_pred for r in langid.digest(docs).collect()}
+    assert got == {"ww"}

@@ -52,3 +52,66 @@ def test_edges(spark, docs_of):
     rows = toxicity.digest(docs, labels).collect()
     assert len(rows) == 4 and {(r.predicted, r.grade) for r in rows} == {(0, 0)}
     assert toxicity.digest(docs.limit(0), labels).count() == 0
+
+
+def test_the_query_matches_brute_force(spark, small):
+    import re
+    from collections import Counter
+    from zlib import crc32
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rng = np.random.default_rng(3)
+    vile = {i for i in texts if i % 3 == 0 and texts[i]}
+    for i in vile:
+        own = texts[i].split(" ")
+        for at in rng.integers(0, len(own) + 1, rng.integers(1, 9)):
+            own.insert(int(at), "Vileness!")
+        texts[i] = " ".join(own)
+    labels = {i: int(i in vile) for i in texts}
+
+    def words(t):
+        return [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower()) if w]
+
+    learned = [i for i in texts if crc32(str(i).encode()) % 5]
+    around, n, has = {}, Counter(labels[i] for i in learned), Counter()
+    for i in learned:
+        own = ["", *words(texts[i]), ""]
+        has.update((labels[i], w) for w in set(own[1:-1]))
+        for a, w, b in zip(own, own[1:], own[2:]) if labels[i] else ():
+            around.setdefault(w, (set(), set()))
+            around[w][0].add(a)
+            around[w][1].add(b)
+    odds = []
+    for w in (w for w, sides in around.items() if min(map(len, sides)) >= toxicity.CONTEXTS):
+        a, b = has[1, w], has[0, w]
+        odd = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
+        odds.append((-abs(odd / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))), w.encode(), odd))
+    best = sorted(odds)[: toxicity.TERMS]
+    place = {w.decode(): k for k, (_, w, _) in enumerate(best)}
+    marked = {w.decode() for z, w, odd in best if odd >= toxicity.MARK_ODDS and -z >= toxicity.MARK_Z}
+    assert "vileness" in marked
+
+    def features(t):
+        x = np.zeros(len(place))
+        for w, k in Counter(w for w in words(t) if w in place).items():
+            x[place[w]] = np.log1p(k)
+        return x
+
+    x = np.array([features(texts[i]) for i in learned], np.float32)
+    y = np.array([0 if not labels[i] else 1 + sum(sum(w in marked for w in words(texts[i])) >= s for s in toxicity.STEPS) for i in learned])
+    w, t = toxicity.fit_ordinal(x, y)
+    changed = spark.createDataFrame([(i, texts[i]) for i in texts], "doc_id long, text string")
+    known = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    got = toxicity.digest(changed, known).collect()
+    assert {r.doc_id for r in got} == set(texts)
+    for r in got:
+        above = [1 / (1 + np.exp(np.clip(k - features(texts[r.doc_id]) @ w, -500, 500))) for k in t]
+        assert abs(r.severity - sum(above)) < 2e-3 and abs(r.score - above[0]) < 2e-3
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_a_very_long_text(spark, docs_of):
+    docs = docs_of([(1, "plain words here " * 100_000), (2, "x"), (3, "y" * 500_000)])
+    labels = spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, toxic int")
+    assert len(toxicity.digest(docs, labels).collect()) == 3
