@@ -37,10 +37,10 @@ from framerank.llm import _common as C
 
 END = "</w>"
 #: Pieces whose encodings one generation of a worker's memory holds, and token pairs it remembers.
-KEPT, PAIRS = 60_000, 150_000
+KEPT, PAIRS = 50_000, 150_000
 #: Texts whose pieces a worker holds at once, and bytes of text in a batch: pieces, ids and tokens take about fifteen
 #: times as much. New words of a slice are walked together, so a larger slice shares more prefixes.
-SLICE, SLICE_BYTES = 700, 2 << 20
+SLICE, SLICE_BYTES = 300, 1 << 20
 _NEVER = 1 << 40
 #: White space as the vocabulary's own pattern knows it.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
