@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from framerank.config import SAMPLE_FACTOR
 from framerank.functions import scalars as S
 from framerank.operators.redundancy import _rows
+from framerank.operators.segments import number
 
 TAIL = 60.0
 
@@ -190,9 +191,10 @@ def hash_split(rows: DataFrame, group: str, share: float = 0.15) -> DataFrame:
 
 
 def dense_ids(rows: DataFrame, label: str = "label", out: str = "label_id") -> DataFrame:
-    """Labels numbered from 0 in sorted order; only the distinct labels are numbered."""
-    ids = rows.select(label).distinct().withColumn(out, F.row_number().over(Window.orderBy(label)) - 1)
-    return rows.join(ids, label)
+    """Labels numbered from 0 in sorted order; only the distinct labels are numbered, in ranges. Rows without a label
+    are left out."""
+    labels = rows.select(label).where(F.col(label).isNotNull()).distinct()
+    return rows.join(number(labels, [label], out=out).withColumn(out, F.col(out).cast("int")), label)
 
 
 def complete_folders(files: DataFrame, required: Sequence[str], path: str = "path") -> DataFrame:

@@ -26,18 +26,23 @@ def runs(frames: DataFrame, clip: Sequence[str], order: Sequence[str], index: st
     return cut.groupBy(*clip, "run", label).agg(F.count("*").alias("num_frames"), F.min(index).alias("start_index"), F.max(index).alias("end_index")).where(F.col("num_frames") >= min_length).drop("run")
 
 
-def number(segments: DataFrame, groups: Sequence[str], order: Sequence[str], out: str = "segment_id") -> DataFrame:
-    """Numbers rows from 0 by (groups, order). Only one count per group is numbered in a single task; the rows
-    themselves are numbered within their group."""
-    sizes = segments.groupBy(*groups).agg(F.count("*").alias("__n"))
-    before = sizes.select(*groups, (F.sum("__n").over(Window.orderBy(*groups)) - F.col("__n")).alias("__before"))
-    same = None
-    for g in groups:
-        one = F.col(f"s.{g}").eqNullSafe(F.col(f"b.{g}"))
-        same = one if same is None else same & one
-    joined = segments.alias("s").join(before.alias("b"), same).select("s.*", "b.__before")
-    inner = Window.partitionBy(*groups).orderBy(*order)
-    return joined.withColumn(out, F.col("__before") + F.row_number().over(inner) - 1).drop("__before")
+#: Ranges that rows are numbered in, at most: as many as the session has shuffle partitions.
+RANGES = 256
+
+
+def number(segments: DataFrame, groups: Sequence[str], order: Sequence[str] = (), out: str = "segment_id") -> DataFrame:
+    """Numbers rows from 0 by (groups, order), nulls first. Rows are numbered within ranges between the keys of least
+    hashes, so a group of any size is spread too; only one count per range meets in a single task."""
+    key = F.struct(*groups, *order)
+    ranges = max(1, min(RANGES, int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    drawn = segments.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(ranges - 1)
+    cuts = drawn.agg(F.array_sort(F.collect_list("k"))).scalar()
+    below = F.coalesce(F.size(F.filter("__cuts", lambda c: c <= key)), F.lit(0))
+    placed = segments.withColumn("__cuts", cuts).withColumn("__range", below).drop("__cuts")
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    starts = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*groups, *order))
+    return placed.withColumn("__place", place).join(F.broadcast(starts), "__range").withColumn(out, F.col("__start") + F.col("__place") - 1).drop("__range", "__place", "__start")
 
 
 def shares(segments: DataFrame, label: str = "pred_label") -> DataFrame:

@@ -44,6 +44,15 @@ def test_numbering_is_global(spark):
     assert [(r.p, r.clip, r.s, r.segment_id) for r in got] == [(None, "a", 0, 0), ("P1", "a", 1, 1), ("P1", "a", 7, 2), ("P1", "b", 9, 3), ("P2", "a", 5, 4)]
 
 
+def test_numbering_spreads_a_hot_group_and_places_nulls_first(spark):
+    rows = [("a" if i % 3 else (None, "b", "c")[i % 9 // 3], None if i % 7 == 0 else i % 5, i) for i in range(600)]
+    got = segments.number(spark.createDataFrame(rows, "p string, clip int, s int"), ["p", "clip"], ["s"]).orderBy("segment_id").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2]))
+    assert [tuple(r) for r in got] == [(*r, n) for n, r in enumerate(want)]
+    labels = spark.createDataFrame([(x,) for x in ("b", "a", None, "b")], "label string")
+    assert sorted(map(tuple, dataset.dense_ids(labels).collect())) == [("a", 0), ("b", 1), ("b", 1)]
+
+
 def test_range_join_over_bins(spark):
     f = spark.createDataFrame([("c", i) for i in (0, 1, 1023, 1024, 2047, 2048, 5000)], "clip string, frame_idx long")
     s = spark.createDataFrame([("c", 1, 2047), ("c", 2048, 2048), ("d", 0, 9999)], "clip string, start_index long, end_index long")
