@@ -691,17 +691,19 @@ def _measured(spark, sf_dir) -> DataFrame:
 
 
 def _log(spark, sf_dir) -> DataFrame:
-    """Measured frames and the embedding an event's id falls on."""
-    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), "embedding", F.col("embedding")[0].cast("double").alias("aesthetic_score"))
-    return _measured(spark, sf_dir).withColumn("v", F.col("event_id") % 500).join(vectors, "v")
+    """Measured frames and the embedding an event's id falls on, counted over all rows of embeddings."""
+    vectors = segments.number(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), ["vec_id"], ["embedding"], "v")
+    vectors = vectors.select("v", "embedding", F.col("embedding")[0].cast("double").alias("aesthetic_score"))
+    many = _read(spark, sf_dir, "embeddings").agg(F.nullif(F.count("*"), F.lit(0))).scalar()
+    return _measured(spark, sf_dir).withColumn("v", F.col("event_id") % many).join(vectors, "v")
 
 
 @query(f"""WITH RECURSIVE {FRAMES}, {RUNS},
 seg AS (SELECT *, row_number() OVER (ORDER BY pred_label, clip_id, start_index) - 1 AS segment_id FROM runs),
 lim(pred_label, l, s, u, c, mult) AS (VALUES ('P1', 5e0, 1e0, 0.98e0, 0.1e0, 1.2e0), ('P2', 10e0, 1e0, 0.97e0, 0.2e0, 1.075e0), ('P3', 5e0, 2e0, 0.98e0, 0.1e0, 1.05e0), ('P4', 5e0, 1e0, 0.98e0, 0.1e0, 1e0)),
-cand AS (SELECT f.*, seg.segment_id, lim.c, lim.mult, event_id % 500 AS vid FROM frames f JOIN seg ON f.clip_id = seg.clip_id AND f.pred_label = seg.pred_label AND f.frame_idx BETWEEN seg.start_index AND seg.end_index
+cand AS (SELECT f.*, seg.segment_id, lim.c, lim.mult, event_id % (SELECT nullif(count(*), 0) FROM embeddings) AS vid FROM frames f JOIN seg ON f.clip_id = seg.clip_id AND f.pred_label = seg.pred_label AND f.frame_idx BETWEEN seg.start_index AND seg.end_index
   JOIN lim ON lim.pred_label = f.pred_label JOIN events USING (event_id) WHERE confidence >= 0.40e0 AND value >= l AND value / 4e0 >= s AND (event_id * 17 % 101) / 101e0 <= u),
-v AS MATERIALIZED (SELECT segment_id AS g, event_id AS r, frame_idx, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS size, CAST(embedding[1] AS DOUBLE) AS score FROM cand JOIN embeddings ON vec_id = vid),
+v AS MATERIALIZED (SELECT segment_id AS g, event_id AS r, frame_idx, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS size, CAST(embedding[1] AS DOUBLE) AS score FROM cand JOIN (SELECT *, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS place FROM embeddings) ON place = vid),
 {_greedy_sql("SELECT * FROM v", "list_dot_product(a.e, b.e) / (a.size * b.size + 1e-8) >= 0.10e0")}, {MEMBERS},
 pick AS (SELECT mem.*, score, frame_idx, row_number() OVER (PARTITION BY g, leader ORDER BY score DESC, r) AS k FROM mem JOIN v USING (g, r)),
 t AS (SELECT *, sum(CASE WHEN frame_idx - prev < 600 THEN 0 ELSE 1 END) OVER (PARTITION BY g ORDER BY frame_idx, r) AS c FROM (SELECT *, lag(frame_idx) OVER (PARTITION BY g ORDER BY frame_idx, r) AS prev FROM pick WHERE k = 1)),
