@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import socket
+import subprocess
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,6 +54,55 @@ def samples(spark: SparkSession, per_second: int = 1) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
 
 
+#: The processor times, busy and all, that this process read last.
+_before = (0, 0)
+
+
+def _cpu_percent() -> float:
+    """Share of processor time in use on this machine since the last call, since its start at first."""
+    global _before
+    times = [int(x) for x in open("/proc/stat").readline().split()[1:9]]
+    now = (sum(times) - times[3] - times[4], sum(times))
+    busy, total = now[0] - _before[0], now[1] - _before[1]
+    _before = now
+    return 100.0 * busy / total if total > 0 else 0.0
+
+
+def _used_mib() -> float:
+    kib = {k: int(v.split()[0]) for k, v in (line.split(":") for line in open("/proc/meminfo"))}
+    return (kib["MemTotal"] - kib["MemAvailable"]) / 1024
+
+
+def _gpu() -> tuple[float, float]:
+    """Utilisation in percent and memory in MiB of the first card; zeros without one."""
+    asked = ["nvidia-smi", "--query-gpu=utilization.gpu,memory.used", "--format=csv,noheader,nounits"]
+    try:
+        first = subprocess.run(asked, capture_output=True, text=True, timeout=5, check=True).stdout.splitlines()[0]
+        share, used = first.split(",")
+        return float(share), float(used)
+    except (OSError, ValueError, IndexError, subprocess.SubprocessError):
+        return 0.0, 0.0
+
+
+_SAMPLE = "host string, cpu_pct double, used_mib double, gpu_pct double, gpu_mib double"
+
+
+def with_resources(clock: DataFrame) -> DataFrame:
+    """A clock (samples()) with what the machine that handles a tick is using: host, cpu_pct (all cores, 0 to 100),
+    used_mib, gpu_pct, gpu_mib. Ticks of one batch on one machine share a reading. Where /proc isn't found the readings are null."""
+
+    @F.arrow_udf(T.StructType.fromDDL(_SAMPLE))
+    def read(ticks: pa.Array) -> pa.Array:
+        try:
+            found = dict(zip(("cpu_pct", "used_mib"), (_cpu_percent(), _used_mib())))
+        except OSError:
+            found = {}
+        one = {"host": socket.gethostname(), **found, **dict(zip(("gpu_pct", "gpu_mib"), _gpu()))}
+        return pa.array([one] * len(ticks), pa.struct([("host", pa.string()), *((c, pa.float64()) for c in ("cpu_pct", "used_mib", "gpu_pct", "gpu_mib"))]))
+
+    return clock.withColumn("__use", read.asNondeterministic()(F.col("timestamp"))).select(*clock.columns, "__use.*")
+
+
 class Expiring:
     """A value that is made anew once it is older than `seconds`."""
 

@@ -3,8 +3,10 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framerank.functions import pixels, signals
 from framerank.functions import scalars as S
@@ -177,3 +179,42 @@ def test_signal_slots(spark):
     assert got[0].metrics.luminance == pytest.approx(50) and got[1].metrics is None and got[2].metrics is None and got[2].phash == [0]
     plan = signals.with_signals(rows, signals.PIXEL_METRICS).where("height > 5").select("height")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan
+
+
+def test_a_worker_loads_a_model_once(spark, tmp_path):
+    def load():
+        import os
+
+        (tmp_path / f"{os.getpid()}-{len(list(tmp_path.iterdir()))}").touch()
+        # A stand-in for a classifier: fixed weights, and an error on what it can't read.
+        weights = np.array([0.25, 0.75])
+
+        def run(x):
+            found = [list(v) for v in x.to_pylist()]
+            return pa.array(np.array(found) @ weights)
+
+        return run
+
+    model = signals.SignalProvider("stand_in", ("x",), T.DoubleType(), load, version=str(tmp_path), fallback=0.5)
+    rows = spark.createDataFrame([(i, None if i == 7 else [float(i), 2.0]) for i in range(40)], "i int, x array<double>").repartition(8).cache()
+    for _ in range(2):
+        got = {r.i: r.stand_in for r in signals.with_signals(rows, model).collect()}
+        assert got == {i: 0.5 if i == 7 else 0.25 * i + 1.5 for i in range(40)}
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) <= 8
+    strict = signals.SignalProvider("stand_in", ("x",), T.DoubleType(), load, version=str(tmp_path))
+    with pytest.raises(Exception, match="NoneType"):
+        signals.with_signals(rows, strict).collect()
+
+
+def test_workers_hold_few_models():
+    for i in range(10):
+        signals._model(f"k{i}", lambda i=i: i)
+    assert len(signals._loaded) == signals.MODELS and signals._model("k9", lambda: None) == 9
+    signals._loaded.clear()
+
+
+def test_quality_signal(spark):
+    rows = spark.createDataFrame([(0.3,), (1.7,), (-0.2,), (None,), (float("nan"),)], "s double")
+    got = rows.select(signals.quality("s").alias("q"), signals.quality("s", lower_is_better=True).alias("low")).collect()
+    assert [tuple(r) for r in got] == [(0.3, 0.0), (1.0, 0.0), (0.0, 0.2), (0.5, 0.5), (0.5, 0.5)]

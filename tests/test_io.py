@@ -2,6 +2,9 @@
 
 import datetime
 import json
+import time
+
+import pytest
 
 from framerank import schemas
 from framerank.sources import files, rest
@@ -89,10 +92,30 @@ def test_paged_source(spark, tmp_path):
         return {"events": [{"i": at}, {"i": at + 1}]}
 
     assert [e["i"] for e in rest.pages(fetch, "u", {"a": "b"}, 2)] == [0, 1, 2, 3] and asked[0] == "u?a=b&count=2&from=0"
+    with pytest.raises(OSError):
+        list(rest.pages(fetch, "u", {"a": "b"}, 2, strict=True))
     (tmp_path / "page.json").write_text(json.dumps({"events": [{"score": "1-0"}]}))
     spark.dataSource.register(rest.PagedEvents)
     rows = spark.read.format("paged_events").options(url=f"file://{tmp_path}/page.json", ranges="2024..2025,2025..2026", page="5").load().collect()
     assert sorted(r.range_start for r in rows) == ["2024", "2025"] and json.loads(rows[0].event) == {"score": "1-0"}
+    gone = spark.read.format("paged_events").options(url=f"file://{tmp_path}/none.json", ranges="2024..2025")
+    assert gone.load().count() == 0
+    with pytest.raises(Exception, match="none.json"):
+        gone.option("strict", "true").load().collect()
+
+
+def test_resources_of_a_clock(spark, tmp_path):
+    batch = live.with_resources(spark.sql("SELECT timestamp '2024-01-01' AS timestamp, id AS value FROM range(3)")).collect()
+    assert len(batch) == 3 and all(r.host and 0 <= r.cpu_pct <= 100 and r.used_mib > 0 and r.gpu_pct >= 0 and r.gpu_mib >= 0 for r in batch)
+    q = live.with_resources(live.samples(spark)).writeStream.format("memory").queryName("used").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for _ in range(60):
+            if spark.table("used").count():
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert spark.table("used").where("used_mib > 0").count()
 
 
 def test_progress(spark):
