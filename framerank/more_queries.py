@@ -4,8 +4,10 @@ faces, colours, gates and metrics. The tables stand in for the library's inputs
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framerank.functions import scalars as S
+from framerank.functions import signals
 from framerank.operators import dataset, filters, metrics, segments
 from framerank.queries import FRAMES, ORDER, RUNS, _frames, _read, _runs, query
 from framerank.session import shared_folder
@@ -366,3 +368,59 @@ def dominant_colours(spark, sf_dir):
     last = F.when(F.col("vec_id") % 7 > 0, 63).otherwise(8)
     pixels = F.transform(F.sequence(F.lit(0), last), pixel)
     return _read(spark, sf_dir, "embeddings").select("vec_id", S.dominant_colour(pixels).alias("colour"))
+
+
+# Model slots ------------------------------------------------------------------------------------
+
+_CLASSES = 4
+
+
+def _stand_in():
+    """A classifier with fixed weights in place of a trained one: class, and the probability of it."""
+    import numpy as np
+    import pyarrow as pa
+
+    place, k = np.arange(64)[:, None], np.arange(_CLASSES)[None]
+    weights = ((place * 7 + k * 13) % 11 - 5) / 2.0
+
+    def run(vectors: pa.Array) -> pa.Array:
+        z = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), 64) @ weights
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return pa.StructArray.from_arrays([pa.array(z.argmax(axis=1).astype(np.int32)), pa.array(e.max(axis=1) / e.sum(axis=1))], names=["label", "p"])
+
+    return run
+
+
+@query(f"""WITH z AS (SELECT vec_id, k, sum(CAST(embedding[i + 1] AS DOUBLE) * ((i * 7 + k * 13) % 11 - 5) / 2e0) AS z FROM embeddings, range(64) a(i), range({_CLASSES}) b(k) GROUP BY vec_id, k)
+SELECT vec_id, CAST(arg_max(k, z) AS INTEGER) AS label, round(1e0 / sum(exp(z - top)), 9) AS p FROM (SELECT *, max(z) OVER (PARTITION BY vec_id) AS top FROM z) GROUP BY vec_id""")
+def slot_classifier(spark, sf_dir):
+    """A model behind a slot, loaded once a worker."""
+    slot = signals.SignalProvider("class", ("embedding",), T.StructType([T.StructField("label", T.IntegerType()), T.StructField("p", T.DoubleType())]), _stand_in, version="stand_in")
+    found = signals.with_signals(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), slot)
+    return found.select("vec_id", "class.label", F.round("class.p", 9).alias("p"))
+
+
+@query("""SELECT event_id, round(CASE WHEN event_id % 7 = 0 THEN 0.5e0 ELSE least(1e0, greatest(0e0, value / 50e0 - 0.5e0)) END, 9) AS iqa,
+round(CASE WHEN event_id % 7 = 0 THEN 0.5e0 ELSE least(1e0, greatest(0e0, 0.5e0 - value / 50e0)) END, 9) AS inverse FROM events""")
+def quality_signals(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 7 > 0, F.col("value") / 50.0 - 0.5)
+    return _read(spark, sf_dir, "events").select("event_id", F.round(signals.quality(raw), 9).alias("iqa"), F.round(signals.quality(raw, lower_is_better=True), 9).alias("inverse"))
+
+
+@query("""WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, CAST(floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 400) AS BIGINT) % 256 AS r, CAST(floor(abs(CAST(embedding[(i + 7) % 64 + 1] AS DOUBLE)) * 300) AS BIGINT) % 256 AS g,
+  CAST(floor(abs(CAST(embedding[(i + 19) % 64 + 1] AS DOUBLE)) * 200) AS BIGINT) % 256 AS b FROM embeddings, range(64) t(i)),
+q AS MATERIALIZED (SELECT vec_id, y, x, r * 0.2126e0 + g * 0.7152e0 + b * 0.0722e0 AS light, CAST(floor(r * 0.299e0 + g * 0.587e0 + b * 0.114e0 + 0.5e0) AS BIGINT) AS v FROM p),
+s AS (SELECT c.vec_id, c.y, c.x, sum(dx * (2 - abs(dy)) * o.v) AS gx, sum(dy * (2 - abs(dx)) * o.v) AS gy FROM q c, range(-1, 2) a(dy), range(-1, 2) d(dx), q o
+  WHERE o.vec_id = c.vec_id AND o.y = CASE c.y + dy WHEN -1 THEN 1 WHEN 8 THEN 6 ELSE c.y + dy END AND o.x = CASE c.x + dx WHEN -1 THEN 1 WHEN 8 THEN 6 ELSE c.x + dx END GROUP BY 1, 2, 3),
+u AS (SELECT vec_id, sum(n) / (64 + 1e-6) AS uniformity FROM (SELECT vec_id, count(*) AS n, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC) AS k FROM q GROUP BY vec_id, v) WHERE k <= 12 GROUP BY vec_id)
+SELECT vec_id, round(light, 10) AS luminance, round(sharp, 6) AS sharpness, round(uniformity, 6) AS uniformity FROM (SELECT vec_id, avg(light) AS light FROM q GROUP BY vec_id)
+JOIN (SELECT vec_id, avg(sqrt(gx * gx + gy * gy)) AS sharp FROM s GROUP BY vec_id) USING (vec_id) JOIN u USING (vec_id)""")
+def picture_metrics(spark, sf_dir):
+    """Metrics of pictures of 8 x 8 pixels by the pixel slot."""
+    value = lambda i, scale: F.floor(F.abs(F.get("embedding", i % 64).cast("double")) * scale) % 256
+    pixel = lambda i: F.concat(*(F.lpad(F.hex(value(i + shift, scale)), 2, "0") for shift, scale in ((0, 400), (7, 300), (19, 200))))
+    rgb = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), pixel), ""))
+    pictures = _read(spark, sf_dir, "embeddings").select("vec_id", rgb.alias("rgb"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+    found = signals.with_signals(pictures, signals.PIXEL_METRICS)
+    # Luminances are multiples of 1 / 640000: fewer digits would end in ties.
+    return found.select("vec_id", *(F.round(f"metrics.{m}", n).alias(m) for m, n in (("luminance", 10), ("sharpness", 6), ("uniformity", 6))))
