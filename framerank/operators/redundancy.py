@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framerank.session import shared_folder
+
 #: Vectors compared to a leader at once, which bounds what a task computes with.
 BLOCK = 65_536
 
@@ -42,6 +45,19 @@ def leaders_hamming(bits: np.ndarray, most: int) -> np.ndarray:
     return leader
 
 
+#: Features that rows are compared by.
+KINDS = ("clip", "histogram", "phash")
+
+
+def _words_of(x: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """Perceptual hashes as unsigned words, and the bits in which like ones may differ."""
+    return x.astype(np.int64).view(np.uint64), int(64 * x.shape[1] * (1 - threshold) + 1e-9)
+
+
+def _leaders(x: np.ndarray, kind: str, threshold: float) -> np.ndarray:
+    return leaders_hamming(*_words_of(x, threshold)) if kind == "phash" else leaders_cosine(x, threshold)
+
+
 def _rows(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
@@ -50,23 +66,86 @@ def _rows(column: pa.ChunkedArray) -> np.ndarray:
 def leader_clusters(items: DataFrame, group: str, order: str, feature: str, threshold: float, kind: str = "clip") -> DataFrame:
     """Adds leader (the `order` value of the row's leader) to (group, order, feature). kind: `clip` and `histogram`
     compare by cosine, `phash` (arrays of 64-bit words) by int(bits x (1 - threshold)) differing bits. One group is
-    one task's work: groups are segments."""
-    if kind not in ("clip", "histogram", "phash"):
+    one task's work: groups are segments. long_leader_clusters() is for those that are too long for it."""
+    if kind not in KINDS:
         raise ValueError(f"unknown feature {kind!r}")
 
     def clustered(table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
-        x = _rows(table[feature])
-        if kind == "phash":
-            found = leaders_hamming(x.astype(np.int64).view(np.uint64), int(64 * x.shape[1] * (1 - threshold) + 1e-9))
-        else:
-            found = leaders_cosine(x, threshold)
+        found = _leaders(_rows(table[feature]), kind, threshold)
         return table.drop_columns([feature]).append_column("leader", table[order].take(pa.array(found)))
 
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
     return items.select(group, order, feature).groupBy(group).applyInArrow(clustered, f"{group} {kinds[group]}, {order} {kinds[order]}, leader {kinds[order]}")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _joined(x: np.ndarray, heads: np.ndarray, kind: str, threshold: float) -> np.ndarray:
+    """For each row the first of the heads that it is near enough to, -1 if there is none."""
+    first = np.full(len(x), -1)
+    if kind == "phash":
+        (x, most), (heads, _) = _words_of(x, threshold), _words_of(heads, threshold)
+    else:
+        x, heads = x.astype(np.float64), heads.astype(np.float64)
+        size, lengths = np.linalg.norm(x, axis=1), np.linalg.norm(heads, axis=1)
+    for k, head in enumerate(heads):
+        free = np.flatnonzero(first < 0)
+        if not len(free):
+            break
+        if kind == "phash":
+            near = np.bitwise_count(x[free] ^ head).sum(axis=1) <= most
+        else:
+            near = x[free] @ head / (size[free] * lengths[k] + 1e-8) >= threshold
+        first[free[near]] = k
+    return first
+
+
+def long_leader_clusters(items: DataFrame, group: str, order: str, feature: str, threshold: float, kind: str = "clip", batch: int = 20_000) -> DataFrame:
+    """leader_clusters() for groups of any size, with the same result: no task holds more than two times `batch` rows.
+    In rounds, the first `batch` free rows of each group are clustered, and the rest, in parts of that size, joins the first
+    of the new leaders that is near enough or stays free. Rounds are written to the shared folder, and end with the
+    free rows; a group whose rows are all unlike each other takes a round for every `batch` of them. `order` is unique
+    within a group."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown feature {kind!r}")
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+    base = f"{group} {kinds[group]}, {order} {kinds[order]}, leader {kinds[order]}, {feature} {kinds[feature]}"
+
+    def clustered(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        found = _leaders(_rows(table[feature]), kind, threshold)
+        # Only a leader's feature is needed again.
+        kept = table[feature].take(pa.array(found, mask=found != np.arange(len(found))))
+        return pa.table({group: table[group], order: table[order], "leader": table[order].take(pa.array(found)), feature: kept})
+
+    def settled(rows: pa.Table, heads: pa.Table) -> pa.Table:
+        heads = heads.sort_by("leader")
+        first = _joined(_rows(rows[feature]), _rows(heads[feature]), kind, threshold) if len(rows) else np.empty(0, int)
+        return pa.table({group: rows[group], order: rows[order], "leader": heads["leader"].take(pa.array(first, mask=first < 0)), feature: rows[feature]})
+
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    free, done = items.select(group, order, feature), []
+    while True:
+        placed = _written(free.withColumn("__part", F.floor((place - 1) / batch)))
+        found = _written(placed.where("__part = 0").drop("__part").groupBy(group).applyInArrow(clustered, base))
+        done.append(found.select(group, order, "leader"))
+        rest = placed.where("__part > 0")
+        if not rest.limit(1).count():
+            break
+        heads = found.where(F.col(order) == F.col("leader")).select(group, "leader", feature).alias("h")
+        parts = rest.groupBy(group).agg(F.max("__part").alias("__last")).withColumnRenamed(group, "__group")
+        spread = heads.join(parts, F.col(f"h.{group}").eqNullSafe(F.col("__group"))).select("h.*", F.explode(F.sequence(F.lit(1).cast("long"), "__last")).alias("__part"))
+        after = _written(rest.groupBy(group, "__part").cogroup(spread.groupBy(group, "__part")).applyInArrow(settled, base))
+        done.append(after.where("leader is not null").select(group, order, "leader"))
+        free = after.where("leader is null").select(group, order, feature)
+    return reduce(DataFrame.unionByName, done)
+
+
 def temporal_clusters(items: DataFrame, group: Sequence[str], index: str, gap: float, ties: Sequence[str] = (), out: str = "cluster") -> DataFrame:
     """Adds a cluster number: a row starts a new cluster if it is at least `gap` after the one before it. (A session
     window would join rows exactly `gap` apart.)"""

@@ -267,6 +267,12 @@ def leader_clusters(spark, sf_dir):
     return redundancy.leader_clusters(_items(spark, sf_dir), "segment_id", "vec_id", "embedding", 0.20)
 
 
+@query(f"WITH RECURSIVE {VECTORS}, {LEADERS}, {MEMBERS} SELECT g AS segment_id, r AS vec_id, leader FROM mem")
+def long_leader_clusters(spark, sf_dir):
+    """The same in rounds of bounded tasks."""
+    return redundancy.long_leader_clusters(_items(spark, sf_dir), "segment_id", "vec_id", "embedding", 0.20)
+
+
 PICKED = "pick AS (SELECT mem.*, score, count(*) OVER (PARTITION BY g, leader) AS n, row_number() OVER (PARTITION BY g, leader ORDER BY score DESC, r) AS k FROM mem JOIN v USING (g, r))"
 
 

@@ -275,3 +275,20 @@ def test_ranking_end_to_end(spark):
     assert len(got[0]) == 24
     none = ranking.rank_keyframes(spark.createDataFrame(rows, kinds).where("frame_idx < 0"))
     assert none.count() == 0 and len(none.columns) == 24
+
+
+@pytest.mark.parametrize("kind", ["clip", "phash"])
+def test_long_segments_are_clustered_in_rounds(spark, kind):
+    draw = np.random.default_rng(5)
+    if kind == "clip":
+        rows = [(g, i, [float(v) for v in draw.normal(size=4)]) for g, n in ((None, 9), (1, 1), (2, 150), (3, 40)) for i in range(n)]
+        items, threshold = spark.createDataFrame(rows, "g int, i int, x array<double>"), 0.8
+    else:
+        rows = [(g, i, [int(draw.integers(0, 1 << 12)), 0]) for g, n in ((None, 9), (1, 1), (2, 150), (3, 40)) for i in range(n)]
+        items, threshold = spark.createDataFrame(rows, "g int, i int, x array<bigint>"), 1 - 3 / 128
+    want = sorted(map(tuple, redundancy.leader_clusters(items, "g", "i", "x", threshold, kind).collect()), key=str)
+    assert len({(g, lead) for g, _, lead in want if g == 2}) > 20
+    for batch in (7, 64, 1000):
+        got = redundancy.long_leader_clusters(items, "g", "i", "x", threshold, kind, batch).collect()
+        assert sorted(map(tuple, got), key=str) == want
+    assert redundancy.long_leader_clusters(items.limit(0), "g", "i", "x", threshold, kind).count() == 0
