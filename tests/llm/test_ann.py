@@ -78,3 +78,17 @@ def test_recall_with_more_hashes(spark, monkeypatch):
     monkeypatch.setattr(ann, "HASHES", ((None, 3, 24),))
     hit = sum(r.vec_id in dict(want[r.query_id]) for r in ann.digest(vectors).collect())
     assert hit / sum(map(len, want.values())) >= 0.9
+
+
+def test_far_rows_change_nothing(spark):
+    """Among 1,510 rows a query finds what it finds among the 1,490 that are near."""
+    rng = np.random.default_rng(3)
+    near = [(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(1490, 64)))]
+    schema = "vec_id long, embedding array<float>"
+    found = []
+    for extra in (0, 20):
+        far = [(10_000 + i, [float(c) for c in v]) for i, v in enumerate(1000 * rng.normal(size=(extra, 64)))]
+        vectors = spark.createDataFrame(near + far, schema)
+        found.append(sorted(map(tuple, ann.nearest(vectors, vectors.where("vec_id < 1490 and vec_id % 100 = 0")).collect())))
+    assert len(found[0]) == 150
+    assert found[1] == found[0]
