@@ -36,8 +36,8 @@ FEW_ROWS = 2_000_000
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of texts whose sets of five-word shingles are similar to 0.8 or more the row with the smallest
-    doc_id. op2's trie self-join finds them with a wider budget than its 4 bits, which don't reach that similarity
-    and link texts below it."""
+    doc_id. op2's trie self-join of all fingerprints comes first; its 4 bits don't reach that similarity and link texts below
+    it, so an exact check follows, and a second step finds the pairs beyond 4 bits."""
     own = C.free(docs, "row")
     numbered = C.materialise(docs.withColumn(own, F.monotonically_increasing_id()), "pipeline_rows")
     found = similar.groups(numbered.select(F.col(own).alias("row"), "doc_id", "text"))

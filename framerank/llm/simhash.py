@@ -24,6 +24,7 @@ null if it has none. An empty table gives an empty result. Extra columns are ign
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -132,15 +133,21 @@ def _pairs(alo, ahi, blo, bhi):
     return i, j
 
 
-def trie_links(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """x: unsigned fingerprints, ascending within each range starts[g]..ends[g]-1. Labels each index
-    with the least index that links within its own range reach."""
+def _hub_links(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What _hubs() finds in the large ranges."""
     left, right = [], []
     for lo, hi in zip(starts, ends):
         if hi - lo >= 64:
             a, b = _hubs(x, lo, hi)
             left.append(a)
             right.append(b)
+    return left, right
+
+
+def trie_links(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """x: unsigned fingerprints, ascending within each range starts[g]..ends[g]-1. Labels each index
+    with the least index that links within its own range reach."""
+    left, right = _hub_links(x, starts, ends)
     label = settle(len(x), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(x))
     for i, j in near_pairs(x, starts, ends, label):
         left.append(i)
@@ -150,6 +157,36 @@ def trie_links(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return settle(len(x), np.concatenate(left), np.concatenate(right))
 
 
+def trie_forest(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j within the budget that span the groups of trie_links(): each pair is a link itself, not a way to
+    the least index, so that a check of its texts tells something."""
+    root, kept = np.arange(len(x)), []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal root
+        ok = root[i] != root[j]
+        i, j = i[ok], j[ok]
+        for k in np.argsort(np.bitwise_count(x[i] ^ x[j]), kind="stable"):
+            u, v = top(i[k]), top(j[k])
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                kept.append((min(i[k], j[k]), max(i[k], j[k])))
+        while (jumped := root[root]).tobytes() != root.tobytes():
+            root = jumped
+
+    for i, j in zip(*_hub_links(x, starts, ends)):
+        join(i, j)
+    for i, j in near_pairs(x, starts, ends, root.copy()):
+        join(i, j)
+    found = np.array(kept, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
 def near_pairs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, label: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within the budget from the same range, by walking pairs of trie nodes; ranges as in trie_links(). Node
     pairs of one label are left out."""
@@ -195,7 +232,7 @@ def near_pairs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, label: np.nd
         ))
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walk(batches: Iterator[pa.RecordBatch], forest: bool = False) -> Iterator[pa.RecordBatch]:
     """Batches sorted by task: whole tasks are joined as they complete."""
     held: list[pa.RecordBatch] = []
 
@@ -206,9 +243,13 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero(task[1:] != task[:-1]) + 1
         starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(x)]))
         many = ends - starts > 1
-        label = trie_links(x, starts[many], ends[many])
-        moved = np.flatnonzero(label != np.arange(len(x)))
-        return pa.RecordBatch.from_arrays([pa.array(x[moved].view(np.int64)), pa.array(x[label[moved]].view(np.int64))], names=["a", "b"])
+        if forest:
+            i, j = trie_forest(x, starts[many], ends[many])
+        else:
+            label = trie_links(x, starts[many], ends[many])
+            i = np.flatnonzero(label != np.arange(len(x)))
+            j = label[i]
+        return pa.RecordBatch.from_arrays([pa.array(x[i].view(np.int64)), pa.array(x[j].view(np.int64))], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -228,9 +269,9 @@ def _mask(table: tuple[int, int]) -> int:
     return bits - (1 << 64) if bits >= 1 << 63 else bits
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, forest: bool = False) -> DataFrame:
     """distinct: column fp without repeats. Edges (a, b) between fingerprints that span the same
-    groups as all pairs within the budget."""
+    groups as all pairs within the budget; with `forest` each edge is such a pair."""
     free = [min(set(range(6)) - set(t)) for t in _TABLES]
     tops = F.array(*(
         F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_mask(t))).alias("top"), F.lit(_SEGMENTS[f][0] + _SEGMENTS[f][1]).alias("edge"))
@@ -249,7 +290,7 @@ def links(distinct: DataFrame) -> DataFrame:
     else:
         # A task's name is a hash: two tasks under one name would only be compared in vain.
         below = below.select("fp", F.xxhash64("t", "top").alias("task"))
-    return below.select("task", "fp").repartition("task").sortWithinPartitions("task").mapInArrow(C.tidy(_walk), "a long, b long")
+    return below.select("task", "fp").repartition("task").sortWithinPartitions("task").mapInArrow(C.tidy(partial(_walk, forest=forest)), "a long, b long")
 
 
 def groups(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,13 +1,18 @@
-"""SimHash near-duplicates by the Jaccard similarity of word shingles: simhash's trie self-join with a wider error
-budget, and an exact check of what it finds.
+"""SimHash near-duplicates by the Jaccard similarity of word shingles: simhash's trie self-join, an exact check of what it
+finds, and the pairs beyond its error budget.
 
 Two texts are linked if their `SHINGLE`-word shingles (of the whole text if it is shorter) have a
 similarity of `SIMILARITY` or more; the k-th occurrence of a shingle is an element of its own, so a text is
 not like the short one that it repeats a line after; groups are the connected components of the links. Equal sets are
 one node.
 
-At similarity 0.8 fingerprints differ in 10 to 13 bits of 64 on average, with a deviation of 3, so the
-budget is `BITS`. No choice of equal bit segments holds such pairs, as it does for op2's four bits, so the
+First all distinct fingerprints go through simhash's self-join: tries below the 15 choices of equal segments, walked with
+its budget of 4 bits, as op2 does (on the shingles of this stage). What links them is a spanning forest of pairs within the budget,
+and each pair is checked by its whole sets. Where the sets refuse a pair of the forest, what else joins its texts
+is found by the second step, which compares all that share a band.
+
+At similarity 0.8 fingerprints differ in 10 to 13 bits of 64 on average, with a deviation of 3, so most links are beyond that
+budget, and the second step has one of `BITS`. No choice of equal bit segments holds such pairs, as it does for op2's four bits, so the
 tries stand below minima instead: `BANDS` bands of `BAND` least hashes each, of which a pair at 0.8 shares none
 once in 2e7. A pair within the budget is compared by its whole sets.
 
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framerank.llm import _common as C
+from framerank.llm import simhash
 from framerank.llm.components import components
 from framerank.llm.simhash import majority, near_pairs
 
@@ -254,16 +260,31 @@ def _across(named: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     return found.unionByName(C.materialise(dealt.mapInArrow(C.tidy(_walk), "a long, b long"), "similar_across"))
 
 
+def _self_joined(sets: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Simhash's self-join of all fingerprints: the pairs of row ids (a < b) that it finds, and those whose texts are similar."""
+    first = C.materialise(sets.groupBy("fp").agg(F.min("row").alias("first")), "similar_fingerprints")
+    near = C.materialise(simhash.links(first.select("fp"), forest=True).distinct(), "similar_near")
+    both = near.join(first.toDF("a", "p"), "a").join(first.toDF("b", "q"), "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    equal = sets.join(first, "fp").where("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    pairs = C.materialise(_possible(both.unionByName(equal), sets), "similar_self_joined")
+    return pairs, _linked(pairs, rows)
+
+
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    slim = sets.select("row", "n", "fp")
+    return pairs.join(slim.alias("x"), F.col("a") == F.col("x.row")).join(slim.alias("y"), F.col("b") == F.col("y.row")).where(_may_be("x", "y")).select("a", "b")
+
+
 def links(sets: DataFrame, rows: DataFrame) -> DataFrame:
     """sets: row, n, fp, bands of each distinct set, written already. Edges (a, b) between their row ids that
     span the same groups as all similar pairs."""
+    tried, joined = _self_joined(sets, rows)
     banded = sets.select("row", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("row").alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m")
     shared = C.materialise(banded.join(least, "band"), "similar_bands")
-    slim = sets.select("row", "n", "fp")
     stars = shared.where("row != lead").select(F.col("lead").alias("a"), F.col("row").alias("b")).distinct()
-    stars = stars.join(slim.alias("x"), F.col("a") == F.col("x.row")).join(slim.alias("y"), F.col("b") == F.col("y.row")).where(_may_be("x", "y")).select("a", "b")
-    found = _linked(C.materialise(stars, "similar_stars"), rows)
+    stars = C.materialise(_possible(stars, sets).join(tried, ["a", "b"], "left_anti"), "similar_stars")
+    found = joined.unionByName(_linked(stars, rows))
     root = components(found).withColumnRenamed("node", "row")
     named = C.materialise(shared.drop("lead").join(root, "row", "left").withColumn("root", F.coalesce("root", "row")), "similar_roots")
     return found.unionByName(_across(named, sets, rows))

@@ -3,6 +3,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
@@ -10,6 +11,7 @@ import corpus_pipeline as P
 
 from framerank.llm import _common as C
 from framerank.llm import similar
+from framerank.llm.components import components
 
 
 def shingle_set(text):
@@ -81,3 +83,27 @@ def test_large_bands_match_brute_force(spark, monkeypatch):
         monkeypatch.setattr(similar, "TASK_BYTES", size)
         got = {r.row: r.component_id for r in similar.groups(rows).collect()}
         assert [got[i] for i in range(len(texts))] == want
+
+
+def test_the_self_join_alone_finds_its_links(spark):
+    """With no bands to share, all pairs of similar texts within 4 bits are joined by the trie self-join."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(20):
+        base = [f"w{v}" for v in rng.integers(0, 5000, 300)]
+        texts.append(" ".join(base))
+        for c in range(12 if k < 3 else 2):
+            copy = list(base)
+            copy[rng.integers(0, 300)] = f"x{k}_{c}"
+            texts.append(" ".join(copy))
+    sets = [similar.shingles(t) for t in texts]
+    fps = [similar.majority(s) for s in sets]
+    near = [[(fps[i] ^ fps[j]).bit_count() <= 4 and similar.similarity(a, b) >= 0.8 for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    want = list(range(len(texts)))
+    for _ in texts:
+        want = [min(want[j] for j in range(len(texts)) if near[i][j]) for i in range(len(texts))]
+    assert len(set(want)) <= 30
+    rows = C.materialise(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), "rows")
+    bare = rows.select("row", similar._sketches("text").alias("k")).select("row", "k.n", "k.fp", F.array().cast("array<long>").alias("bands"))
+    got = {r.node: r.root for r in components(similar.links(C.materialise(bare, "bare"), rows)).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want
