@@ -36,18 +36,20 @@ def with_thresholds(frames: DataFrame, thresholds: Mapping[str, Thresholds], key
     return joined.withColumns({c: F.coalesce(c, F.lit(getattr(base, c))) for c in ("min_luminance", "min_sharpness", "max_uniformity", "min_texture", "min_closeup")})
 
 
-def reject_reason() -> Column:
-    """The first limit a row fails, in the order of COUNTERS; null if none. Unreadable rows (null metrics) are 'unreadable'."""
+def reject_reason(unreadable: bool = True) -> Column:
+    """The first limit a row fails, in the order of COUNTERS; null if none. Unreadable rows (null metrics) are 'unreadable';
+    without `unreadable` a null metric fails no limit and the others decide."""
+    null = F.col("luminance").isNull() | F.col("sharpness").isNull() | F.col("uniformity").isNull() | F.col("texture").isNull()
     return (
-        F.when(F.col("luminance").isNull() | F.col("sharpness").isNull() | F.col("uniformity").isNull() | F.col("texture").isNull(), "unreadable")
+        F.when(null if unreadable else F.lit(False), "unreadable")
         .when(F.col("luminance") < F.col("min_luminance"), "luminance").when(F.col("sharpness") < F.col("min_sharpness"), "sharpness")
         .when(F.col("uniformity") > F.col("max_uniformity"), "uniformity").when(F.col("texture") < F.col("min_texture"), "texture")
     )
 
 
-def cascade(frames: DataFrame, thresholds: Mapping[str, Thresholds], key: str = "priority", default: str = "P1_player_referee") -> DataFrame:
+def cascade(frames: DataFrame, thresholds: Mapping[str, Thresholds], key: str = "priority", default: str = "P1_player_referee", unreadable: bool = True) -> DataFrame:
     """All rows with reject_reason; those that pass have null."""
-    return with_thresholds(frames, thresholds, key, default).withColumn("reject_reason", reject_reason())
+    return with_thresholds(frames, thresholds, key, default).withColumn("reject_reason", reject_reason(unreadable))
 
 
 def passed(cascaded: DataFrame) -> DataFrame:
