@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 # Fixed values ---------------------------------------------------------------------------------
 
@@ -54,7 +56,8 @@ THRESHOLDS = {
 def normalise_weights(weights: dict[str, float]) -> dict[str, float]:
     """Shares of the sum; negative weights count as 0. All zero is an error."""
     weights = {k: max(0.0, float(v)) for k, v in weights.items()}
-    total = sum(weights.values())
+    # Added one by one: from Python 3.12 on sum() compensates, which moves the shares by a last bit and parts equal scores.
+    total = reduce(add, weights.values(), 0.0)
     if not total:
         raise ValueError("all signal weights are zero")
     return {k: v / total for k, v in weights.items()}

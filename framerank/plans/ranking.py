@@ -32,9 +32,10 @@ def candidates(frames: DataFrame, found: DataFrame, cfg: RankConfig, clip: Seque
     return filters.passed(filters.cascade(inside, cfg.thresholds, "segment_priority", default))
 
 
-def rank_keyframes(frames: DataFrame, cfg: RankConfig = RankConfig(), *, clip: Sequence[str] = ("game_name", "clip_name"), order: Sequence[str] = ("frame_idx", "frame_path"), video: str = "video_id", path: str = "frame_path", classes: dict[str, str] = CLASS_OF_LABEL, ignored: Sequence[str] = IGNORED_LABELS, factors: dict[str, float] | None = None) -> DataFrame:
+def rank_keyframes(frames: DataFrame, cfg: RankConfig = RankConfig(), *, clip: Sequence[str] = ("game_name", "clip_name"), order: Sequence[str] = ("frame_idx", "frame_path"), video: str = "video_id", path: str = "frame_path", classes: dict[str, str] = CLASS_OF_LABEL, ignored: Sequence[str] = IGNORED_LABELS, factors: dict[str, float] | None = None, ties: Sequence[str] = ("segment_id", "keyframe_priority", "minus_rank_value")) -> DataFrame:
     """frames: clip columns, video, frame_idx, path, pred_label, confidence, metrics (schemas.METRICS), signals
-    (schemas.SIGNALS), embedding and aesthetic_score. The result has the columns of schemas.KEYFRAMES."""
+    (schemas.SIGNALS), embedding and aesthetic_score. Equal final scores go by `ties`, then by path. The result has the
+    columns of schemas.KEYFRAMES."""
     found = extract_segments(frames, clip, order, classes, ignored, cfg.min_length)
     rows = candidates(frames, found, cfg, clip)
     if cfg.redundancy:
@@ -42,8 +43,7 @@ def rank_keyframes(frames: DataFrame, cfg: RankConfig = RankConfig(), *, clip: S
     rows = filters.close_enough(filters.without_logo(rows, cfg.logo_threshold))
     scored = scoring.score(scoring.with_tier(rows), cfg.weights, "segment_priority", factors or scoring.MULTIPLIER)
     scored = scored.withColumnRenamed("confidence", "model_confidence").withColumn("minus_rank_value", -F.col("rank_value"))
-    ties = ["segment_id", "keyframe_priority", "minus_rank_value", path]
-    chosen = select.select_final(scored, video, "frame_idx", ties, cfg.score_floor, cfg.fallback_floor, cfg.min_confidence, cfg.temporal_window, cfg.top_n)
+    chosen = select.select_final(scored, video, "frame_idx", [*ties, path], cfg.score_floor, cfg.fallback_floor, cfg.min_confidence, cfg.temporal_window, cfg.top_n)
     full = scored.join(chosen.select(video, path, "segment_id", "rank"), [video, path, "segment_id"])
     names = S.keyframe_name(F.col(video).cast("string"), F.col("rank"), F.col("segment_priority"), F.col("model_confidence"), F.col("final_score"))
     three = ("final_score", "score_pre_mult", "w_content", "w_iqa", "iqa_signal", "w_emotion", "emotion_signal", "w_face", "face_signal", "face_visibility", "w_pose", "pose_signal")

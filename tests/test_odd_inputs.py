@@ -3,6 +3,7 @@
 import duckdb
 
 from framerank import queries
+from framerank.config import SIGNAL_WEIGHTS, normalise_weights
 
 
 def same_as_sql(spark, name, folder, **tables):
@@ -45,3 +46,25 @@ def test_cascade_reasons_of_empty_and_missing_texts(spark, tmp_path):
     got, want = same_as_sql(spark, "filter_cascade_reasons", tmp_path, documents=(DOCUMENTS, DOCUMENT))
     assert got == want
     assert not any(r[1] == "unreadable" for r in got)
+
+
+def test_ranked_keyframes_with_equal_scores(spark, tmp_path):
+    import datetime
+
+    at = lambda hours: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=hours)
+    click = lambda i, hours, user: (i, at(hours), user, "click", 90.0)
+    # 113 and 396 have one final score and tier, not one rank value; 259279 and 285620 have one score if the weights are exact.
+    rows = [click(113, 0, 1), click(396, 20, 1), click(2, 40, 1)]
+    rows += [click(259279, 0, 2), click(7, 20, 2), click(11, 40, 2), (12, at(60), 2, "error", 90.0), click(285620, 80, 2), click(13, 100, 2), click(14, 120, 2)]
+    vectors = [(i, [float(i == k) for k in range(60)], i % 3) for i in range(60)]
+    got, want = same_as_sql(
+        spark, "ranked_keyframes", tmp_path, events=(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"),
+        embeddings=(vectors, "vec_id bigint, embedding array<float>, label int"),
+    )
+    assert got == want
+    ranks = {r[6]: r[1] for r in got}
+    assert ranks["113"] < ranks["396"] and ranks["259279"] < ranks["285620"]
+
+
+def test_weights_are_the_sqls():
+    assert normalise_weights(dict(SIGNAL_WEIGHTS)) == {"iqa": 0.35 / 0.9, "face": 0.25 / 0.9, "emotion": 0.15 / 0.9, "pose": 0.15 / 0.9}
