@@ -72,6 +72,27 @@ def frames_by_segment(frames: DataFrame, segments: DataFrame, clip: Sequence[str
     return left.join(_binned(segments, width), [*clip, "__bin"]).where(_within()).drop("__bin")
 
 
+def count_by_label(frames: DataFrame, segments: DataFrame, label: str = "pred_label", width: int = 1024) -> DataFrame:
+    """Pairs of a frame of any clip and a segment that it lies in, counted per label of the segment; labels without any
+    are left out. Pairs grow with the square of the input, so none is made: a segment has the frames from its start on
+    less those after its end. Both are counted per index first and ranked within bins of `width` indices; one count per
+    bin meets in a single task."""
+    edge = lambda index, n: F.struct(index.cast("bigint").alias("__at"), F.lit(n).cast("bigint").alias("__n"))
+    both = F.explode(F.array(edge(F.col("start_index"), 1), edge(F.col("end_index") + 1, -1)))
+    edges = segments.where("start_index <= end_index").select(label, both.alias("__edge")).groupBy(label, "__edge.__at").agg(F.sum("__edge.__n").alias("__n"))
+    counts = frames.where("frame_idx is not null").groupBy(F.col("frame_idx").cast("bigint").alias("__at")).agg(F.count("*").alias("__frames"))
+    place = F.floor(F.col("__at") / width)
+    # Frames before a bin, for the bins of frames and of edges alike.
+    bins = counts.select(place.alias("__bin"), "__frames").unionByName(edges.select(place.alias("__bin"), F.lit(0).cast("bigint").alias("__frames"))).groupBy("__bin").agg(F.sum("__frames").alias("__all"))
+    bins = bins.select("__bin", (F.sum("__all").over(Window.orderBy("__bin")) - F.col("__all")).alias("__base"))
+    points = counts.withColumns({label: F.lit(None).cast(segments.schema[label].dataType), "__n": F.lit(0).cast("bigint")}).unionByName(edges.withColumn("__frames", F.lit(0).cast("bigint")))
+    # Frames before a point within its bin: rows of the same index are peers, and the frames among them don't count.
+    by = Window.partitionBy("__bin").orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
+    points = points.withColumn("__bin", place).withColumn("__before", F.coalesce(F.sum("__frames").over(by), F.lit(0))).where("__n <> 0")
+    before = points.join(bins, "__bin").withColumn("__before", F.col("__before") + F.col("__base"))
+    return before.groupBy(label).agg(F.sum(-F.col("__n") * F.col("__before")).alias("frames")).where("frames > 0")
+
+
 def frames_in_segments(frames: DataFrame, segments: DataFrame, clip: Sequence[str] = (), width: int = 1024) -> DataFrame:
     """Semi join: frames that lie in any segment, each once."""
     left = frames.withColumn("__bin", F.floor(F.col("frame_idx") / width)).alias("f")

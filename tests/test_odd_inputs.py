@@ -4,6 +4,7 @@ import duckdb
 
 from framerank import queries
 from framerank.config import SIGNAL_WEIGHTS, normalise_weights
+from framerank.operators import segments
 
 
 def same_as_sql(spark, name, folder, **tables):
@@ -68,3 +69,19 @@ def test_ranked_keyframes_with_equal_scores(spark, tmp_path):
 
 def test_weights_are_the_sqls():
     assert normalise_weights(dict(SIGNAL_WEIGHTS)) == {"iqa": 0.35 / 0.9, "face": 0.25 / 0.9, "emotion": 0.15 / 0.9, "pose": 0.15 / 0.9}
+
+
+def test_frames_per_label_are_counted_without_pairs(spark, small):
+    at = [-3000, -1025, -1024, -1, 0, 0, 5, 5, 5, 1023, 1024, 5000, None]
+    frames = spark.createDataFrame([(i,) for i in at], "frame_idx bigint")
+    spans = [("a", -1024, 5), ("a", 0, 0), ("a", 5, 1024), (None, -9000, 9000), ("b", 6, 1022), ("c", None, 7), ("c", 6, 5), ("d", 0, 0), ("d", 0, 0)]
+    found = segments.count_by_label(frames, spark.createDataFrame(spans, "pred_label string, start_index bigint, end_index bigint"))
+    want: dict = {}
+    for label, a, b in spans:
+        n = sum(a is not None and i is not None and a <= i <= b for i in at)
+        if n:
+            want[label] = want.get(label, 0) + n
+    assert {r.pred_label: r.frames for r in found.collect()} == want
+    # Segments are not spread over bins to meet the frames there.
+    plan = queries.QUERIES["frames_segment_range_unscoped"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan
