@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,26 +76,112 @@ def pr_curve(rows: DataFrame, domain: Sequence, probs: str = "probs", truth: str
     return out.select("class", "threshold", "precision", "recall", (2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-8)).alias("f1"))
 
 
+#: Truths taken before those that are left are packed together.
+PACK = 2048
+
+
+class _Truths:
+    """Truths of one image that are free, by id: five numbers each."""
+
+    def __init__(self, ids: np.ndarray, boxes: np.ndarray, threshold: float):
+        self.ids, self.boxes, self.threshold = ids, boxes, threshold
+        self.size = (boxes[2] - boxes[0]) * (boxes[3] - boxes[1])
+        self.free, self.taken = np.ones(len(ids), bool), 0
+
+    def _near(self, box: Sequence[float], part: slice) -> np.ndarray:
+        """scalars.iou() against the threshold; fmin and maximum treat NaN as Spark's least and greatest do, and NaN passes."""
+        x1, y1, x2, y2 = box
+        t = self.boxes[:, part]
+        inter = np.maximum(0.0, np.fmin(x2, t[2]) - np.maximum(x1, t[0])) * np.maximum(0.0, np.fmin(y2, t[3]) - np.maximum(y1, t[1]))
+        return ~(inter / ((x2 - x1) * (y2 - y1) + self.size[part] - inter + 1e-6) < self.threshold)
+
+    def take(self, boxes: Sequence[Sequence[float]]):
+        """The first free id that any of the boxes is near to, None if there is none. Most find one early, so blocks grow."""
+        a, step = 0, 64
+        while a < len(self.ids):
+            part = slice(a, a + step)
+            found = np.zeros(len(self.ids[part]), bool)
+            for box in boxes:
+                found |= self._near(box, part)
+            found &= self.free[part]
+            if found.any():
+                got = self.ids[a + int(found.argmax())]
+                # Repeated ids are one truth.
+                same = slice(np.searchsorted(self.ids, got), np.searchsorted(self.ids, got, "right"))
+                self.free[same] = False
+                self.taken += same.stop - same.start
+                if self.taken >= PACK:
+                    self.ids, self.boxes, self.size = self.ids[self.free], self.boxes[:, self.free], self.size[self.free]
+                    self.free, self.taken = np.ones(len(self.ids), bool), 0
+                return int(got)
+            a, step = a + step, min(4 * step, 65_536)
+        return None
+
+
 def match_boxes(truths: DataFrame, preds: DataFrame, image: str, threshold: float = 0.5) -> DataFrame:
     """truths: image, gt, box. preds: image, pred, box. In the order of pred, each takes the first free gt (by gt) whose
-    IoU reaches the threshold: (image, pred, gt), gt null for a false positive. Candidates come from an equi join by
-    image; only their short lists go to the grouped step."""
-    pairs = preds.alias("p").join(truths.alias("t"), F.col(f"p.{image}") == F.col(f"t.{image}"), "left").where(F.col("t.gt").isNull() | (S.iou(F.col("p.box"), F.col("t.box")) >= threshold))
-    near = pairs.groupBy(F.col(f"p.{image}").alias(image), F.col("p.pred").alias("pred")).agg(F.array_sort(F.collect_list("t.gt")).alias("near"))
-    rows = preds.select(image, "pred").join(near, [image, "pred"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<bigint>")))
-
-    def matched(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pred")
-        used: set[int] = set()
-        out = []
-        for near in table["near"].to_pylist():
-            got = next((g for g in near if g not in used), None)
-            used.add(got)
-            out.append(got)
-        return table.drop_columns(["near"]).append_column("gt", pa.array(out, pa.int64()))
-
+    IoU reaches the threshold: (image, pred, gt), gt null for a false positive. Which truths are free depends on all
+    predictions before, so an image is one task's work; it holds the image's truths, and predictions pass by in sorted
+    batches, so no list of candidates is made."""
+    edges = ("x1", "y1", "x2", "y2")
+    side = lambda of, n, gt, pred: of.select(image, F.lit(n).alias("__side"), gt.cast("bigint").alias("gt"), pred.alias("pred"), *(F.col("box")[c].cast("double").alias(c) for c in edges))
     kinds = {f.name: f.dataType.simpleString() for f in preds.schema}
-    return rows.groupBy(image).applyInArrow(matched, f"{image} {kinds[image]}, pred {kinds['pred']}, gt bigint")
+    able = reduce(and_, (F.col(c).isNotNull() for c in (image, "gt", *edges)))
+    both = side(truths, 0, F.col("gt"), F.lit(None).cast(kinds["pred"])).where(able).unionByName(side(preds, 1, F.lit(None), F.col("pred")))
+    count = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(count, image).sortWithinPartitions(image, "__side", "gt", "pred")
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        free: _Truths | None = None
+        now, held, waiting, out = None, None, [], ([], [], [])
+
+        def settle() -> None:
+            """Rows of one id take one after another, each near whatever any of their boxes is near to."""
+            boxes = [] if held is None else [r for r in waiting if None not in r]
+            for _ in waiting:
+                for column, v in zip(out, (now, held, free.take(boxes) if boxes and free else None)):
+                    column.append(v)
+            waiting.clear()
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array(v, t) for v, t in zip(out, (image_type, pred_type, pa.int64()))]
+            for v in out:
+                v.clear()
+            return pa.RecordBatch.from_arrays(columns, [image, "pred", "gt"])
+
+        with np.errstate(all="ignore"):
+            for b in batches:
+                image_type, pred_type = b.schema.field(image).type, b.schema.field("pred").type
+                images, sides = b[image].to_pylist(), b["__side"].to_numpy()
+                # Spans of one image and side.
+                cuts = [0, *(i for i in range(1, len(images)) if images[i] != images[i - 1] or sides[i] != sides[i - 1]), len(images)]
+                for i, j in zip(cuts, cuts[1:]):
+                    if i == j:
+                        continue
+                    span = b.slice(i, j - i)
+                    if images[i] != now:
+                        settle()
+                        now, held, free = images[i], None, None
+                        parts.clear()
+                    if not sides[i]:
+                        parts.append((span["gt"].to_numpy(), np.stack([span[c].to_numpy(zero_copy_only=False) for c in edges])))
+                        continue
+                    if parts:
+                        free = _Truths(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1), threshold)
+                        parts.clear()
+                    for pred, *box in zip(span["pred"].to_pylist(), *(span[c].to_pylist() for c in edges)):
+                        if pred != held:
+                            settle()
+                            held = pred
+                        waiting.append(box)
+                    if len(out[0]) >= 8192:
+                        yield batch()
+            settle()
+            if out[0]:
+                yield batch()
+
+    return dealt.mapInArrow(matched, f"{image} {kinds[image]}, pred {kinds['pred']}, gt bigint")
 
 
 def detection_scores(matches: DataFrame, truths: DataFrame) -> DataFrame:

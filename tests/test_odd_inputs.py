@@ -1,10 +1,11 @@
 """Queries against their SQL on rows that the fixtures lack."""
 
 import duckdb
+import numpy as np
 
 from framerank import queries
 from framerank.config import SIGNAL_WEIGHTS, normalise_weights
-from framerank.operators import segments
+from framerank.operators import metrics, segments
 
 
 def same_as_sql(spark, name, folder, **tables):
@@ -85,3 +86,46 @@ def test_frames_per_label_are_counted_without_pairs(spark, small):
     # Segments are not spread over bins to meet the frames there.
     plan = queries.QUERIES["frames_segment_range_unscoped"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan
+
+
+def test_taken_truths_are_packed_away(monkeypatch):
+    monkeypatch.setattr(metrics, "PACK", 5)
+    draw = np.random.default_rng(3)
+    corner = draw.uniform(0, 60, (2, 400))
+    boxes = np.concatenate([corner, corner + draw.uniform(20, 40, (2, 400))])
+    ids = np.sort(draw.integers(0, 350, 400))
+    truths = metrics._Truths(ids, boxes, 0.5)
+    taken: set[int] = set()
+    for k in range(400):
+        own = boxes[:, (k * 7) % 400] + 1.0
+        near = [int(g) for g, t in zip(ids, boxes.T) if g not in taken and _iou(own, t) >= 0.5]
+        assert truths.take([tuple(own)]) == (near[0] if near else None)
+        taken.update(near[:1])
+    assert len(taken) > 50 and len(truths.ids) < 400
+
+
+def _iou(a, b):
+    inter = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter + 1e-6)
+
+
+def odd_vectors():
+    """Repeated ids, missing and NaN components, labels with one kind of box only, and some of a plain kind."""
+    draw = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in draw.normal(0, 0.125, 4).astype("float32")], i // 90) for i in range(270)]
+    rows += [(i, [float(x) for x in draw.normal(0, 0.125, 4).astype("float32")], 0) for i in (1, 1, 6, 8, 8, 9)]
+    nan = float("nan")
+    rows += [(400, None, 0), (401, None, 0), (402, [0.1, None, 0.1, 0.1], 1), (403, [None, 0.1, 0.1, 0.1], 1), (405, [0.0, nan, 0.1, 0.1], 2), (406, [0.1, 0.1, nan, 0.1], 2)]
+    return rows + [(501, [0.0] * 4, 7), (503, [0.0] * 4, 7), (504, [0.0] * 4, 8)], "vec_id bigint, embedding array<float>, label int"
+
+
+def test_boxes_are_matched_without_candidate_lists(spark, small, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got, want = same_as_sql(spark, "iou_match", tmp_path, embeddings=odd_vectors())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    assert any(r[2] is None for r in got) and any(r[2] is not None for r in got)
+    plan = queries.QUERIES["iou_match"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan
