@@ -129,3 +129,10 @@ def test_boxes_are_matched_without_candidate_lists(spark, small, tmp_path):
     assert any(r[2] is None for r in got) and any(r[2] is not None for r in got)
     plan = queries.QUERIES["iou_match"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "collect_list" not in plan
+
+
+def test_detection_scores_without_candidate_lists(spark, small, tmp_path):
+    got, want = same_as_sql(spark, "detection_scores", tmp_path, embeddings=odd_vectors())
+    assert got == want and got[0][0] > 0
+    plan = queries.QUERIES["detection_scores"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
